@@ -1,20 +1,24 @@
 """Classifier metrics as aggregations: confusion counts, ROC-AUC, average precision, profit by threshold, fold summary.
 
 Ranking metrics first reduce the rows to one row per distinct score, so ties and hot scores are handled before any
-ordering. The ordering then runs inside score buckets of bounded size; what lies above a bucket comes from a table with
-one row per bucket. No window ever spans the whole table.
+ordering, and write that table once. The ordering then runs inside score buckets of bounded size; what lies above a
+bucket comes from a table with one row per bucket. No window ever spans an unbounded table.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.risk import CHURN_THRESHOLD
+from ebbtide.session import cut_lineage
 from ebbtide.sources.schema import LABEL
 
-BUCKETS = 512
+BUCKET_ROWS = 100_000
+MAX_BUCKETS = 4096
 DIGITS = 4
 
 
@@ -32,10 +36,9 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def threshold_metrics(df: DataFrame, score: str, label: str = LABEL, by: list[str] = ()) -> DataFrame:
-    """Precision, recall and F1 at 0.5; 0 where a denominator is 0."""
+def _at_threshold(counts: DataFrame, by: list[str]) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return confusion(df, score, label, by).select(
+    return counts.select(
         *by,
         _share(tp, tp + fp).alias("precision"),
         _share(tp, tp + fn).alias("recall"),
@@ -43,6 +46,11 @@ def threshold_metrics(df: DataFrame, score: str, label: str = LABEL, by: list[st
     )
 
 
+def threshold_metrics(df: DataFrame, score: str, label: str = LABEL, by: list[str] = ()) -> DataFrame:
+    """Precision, recall and F1 at 0.5; 0 where a denominator is 0."""
+    return _at_threshold(confusion(df, score, label, by), by)
+
+
 def score_groups(df: DataFrame, score: str, label: str = LABEL, by: list[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score."""
     return (
@@ -52,15 +60,20 @@ def score_groups(df: DataFrame, score: str, label: str = LABEL, by: list[str] =
     )
 
 
-def cumulative_by_score(
-    df: DataFrame, score: str, label: str = LABEL, by: list[str] = (), buckets: int = BUCKETS
-) -> DataFrame:
-    """Score groups with the positives and negatives that score strictly higher, and the totals."""
-    groups = score_groups(df, score, label, by)
-    shares = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(groups.approxQuantile("score", shares, 1 / (4 * buckets))))
-    inf = float("inf")
-    bucketed = Bucketizer(splits=[-inf, *edges, inf], inputCol="score", outputCol="bucket").transform(groups)
+def cumulative_counts(groups: DataFrame, by: list[str] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Score groups with the positives and negatives that score strictly higher, and the totals.
+
+    Reads ``groups`` several times: pass a written table.
+    """
+    buckets = max(1, min(MAX_BUCKETS, math.ceil(groups.count() / bucket_rows)))
+    edges = []
+    if buckets > 1:
+        shares = [i / buckets for i in range(1, buckets)]
+        edges = sorted(set(groups.approxQuantile("score", shares, 1 / (4 * buckets))))
+    splits = [-math.inf, *edges, math.inf]
+    bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(groups) if edges else (
+        groups.withColumn("bucket", F.lit(0.0))
+    )
     keys = [*by, "bucket"]
     higher = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
@@ -86,16 +99,12 @@ def cumulative_by_score(
     )
 
 
-def ranking_metrics(
-    df: DataFrame, score: str, label: str = LABEL, by: list[str] = (), buckets: int = BUCKETS
-) -> DataFrame:
-    """Tie-corrected ROC-AUC and step-wise average precision; NULL without both classes."""
+def _ranking(groups: DataFrame, by: list[str], bucket_rows: int) -> DataFrame:
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     beaten = neg * (F.col("pos_above") + pos / 2)
     caught = F.col("pos_above") + F.col("pos")
     flagged = caught + F.col("neg_above") + F.col("neg")
-    curve = cumulative_by_score(df, score, label, by, buckets)
-    sums = curve.groupBy(*by).agg(
+    sums = cumulative_counts(groups, by, bucket_rows).groupBy(*by).agg(
         F.sum(beaten).alias("beaten"),
         F.sum(pos * caught / flagged).alias("precision_sum"),
         F.max("total_pos").cast("double").alias("p"),
@@ -109,14 +118,29 @@ def ranking_metrics(
     )
 
 
+def ranking_metrics(
+    df: DataFrame, score: str, label: str = LABEL, by: list[str] = (), bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """Tie-corrected ROC-AUC and step-wise average precision; NULL without both classes."""
+    return _ranking(cut_lineage(score_groups(df, score, label, by)), list(by), bucket_rows)
+
+
 def all_metrics(df: DataFrame, score: str, label: str = LABEL, by: list[str] = ()) -> DataFrame:
-    """ROC-AUC, average precision, precision, recall and F1, to 4 digits; one row per ``by`` group."""
-    at_threshold = threshold_metrics(df, score, label, by)
-    ranked = ranking_metrics(df, score, label, by)
-    if by:
-        joined = ranked.join(at_threshold, list(by))
-    else:
-        joined = ranked.withColumn("one", F.lit(1)).join(at_threshold.withColumn("one", F.lit(1)), "one").drop("one")
+    """ROC-AUC, average precision, precision, recall and F1, to 4 digits; one row per ``by`` group.
+
+    The rows are read once: every metric comes from the written score groups.
+    """
+    by = list(by)
+    keys = by or ["one"]
+    groups = cut_lineage(score_groups(df, score, label, by))
+    groups = groups if by else groups.withColumn("one", F.lit(1))
+    above = F.col("score") >= CHURN_THRESHOLD
+    counts = groups.groupBy(*keys).agg(
+        F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("fn"),
+    )
+    joined = _ranking(groups, keys, BUCKET_ROWS).join(_at_threshold(counts, keys), keys)
     names = ["roc_auc", "pr_auc", "precision", "recall", "f1"]
     return joined.select(*by, *[F.bround(name, DIGITS).alias(name) for name in names])
 
@@ -130,10 +154,11 @@ def profit_curve(
     df: DataFrame, score: str, saved_value: float, contact_cost: float, label: str = LABEL
 ) -> DataFrame:
     """Profit of contacting everyone who scores at least as high, for every distinct score."""
+    groups = cut_lineage(score_groups(df, score, label))
     contacted_pos = F.col("pos_above") + F.col("pos")
     contacted = contacted_pos + F.col("neg_above") + F.col("neg")
     profit = contacted_pos * F.lit(float(saved_value)) - contacted * F.lit(float(contact_cost))
-    return cumulative_by_score(df, score, label).select(
+    return cumulative_counts(groups).select(
         F.col("score").alias("threshold"),
         contacted.alias("contacted"),
         contacted_pos.alias("caught"),

@@ -52,9 +52,9 @@ def distinct_points(rows: DataFrame, k: int) -> DataFrame:
 
 def _sample_tree(points: DataFrame, n: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Median splits on the widest column, in heap order, from a bounded repeatable sample."""
-    depth = max(0, min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(max(1.0, 2 * n / block_rows)))))
-    if depth == 0:
+    if n <= block_rows:
         return np.zeros(0, int), np.zeros(0), 0
+    depth = min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(2 * n / block_rows)))
     drawn = F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < F.lit(math.ceil(1e6 * min(1.0, SAMPLE_POINTS / n)))
     sample = np.array([row[0] for row in points.filter(drawn).select("vec").limit(2 * SAMPLE_POINTS).collect()])
     dims, values = np.zeros(2**depth - 1, int), np.full(2**depth - 1, np.inf)
@@ -105,7 +105,7 @@ def _kth(squared: np.ndarray, k: int) -> np.ndarray:
     return np.partition(squared, k, axis=1)[:, k]
 
 
-def _with_reach(blocks: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _with_reach(blocks: DataFrame, k: int) -> DataFrame:
     """Upper bound of the k-th distance of each point, from its own block (infinite if the block is too small)."""
 
     def bound(block: pd.DataFrame) -> pd.DataFrame:
@@ -215,8 +215,11 @@ def nearest_neighbours(
         raise ValueError("no rows to search")
     blocks = cut_lineage(_blocks(points, _sample_tree(points, n, block_rows), block_rows))
     points.unpersist()
-    boxes = _boxes(blocks, width, ["cell", "block"])
-    visits = _visits(_with_reach(blocks, k, block_rows), boxes, width)
+    if n <= block_rows:
+        visits = blocks.select("point", "vec", "cell", "block").toDF("point", "vec", "cell", "block")
+    else:
+        boxes = _boxes(blocks, width, ["cell", "block"])
+        visits = _visits(_with_reach(blocks, k), boxes, width)
     nearest = Window.partitionBy("point").orderBy("d2", "first_id")
     ranked = _search(visits, blocks, k, chunk_points).withColumn("r", F.row_number().over(nearest))
     spread = F.transform("near_ids", lambda i: F.struct(F.col("d2"), i.alias("id"), F.col("near_vec").alias("vec")))

@@ -27,10 +27,16 @@ def minority_plan(df: DataFrame, label: str = LABEL) -> tuple[int, int, int]:
 
 
 def synthetic_rows(
-    df: DataFrame, features: list[str], k: int = NEIGHBOURS, seed=42, key: str = ID, label: str = LABEL
+    df: DataFrame,
+    features: list[str],
+    k: int = NEIGHBOURS,
+    seed=42,
+    key: str = ID,
+    label: str = LABEL,
+    plan: tuple[int, int, int] | None = None,
 ) -> DataFrame:
     """``key`` (``syn-<id>-<j>``), the seed and neighbour ids, the gap, the features and the label."""
-    minority, n_min, n_syn = minority_plan(df, label)
+    minority, n_min, n_syn = plan or minority_plan(df, label)
     if n_min <= k:
         raise ValueError(f"{n_min} minority rows are too few for {k} neighbours")
     rows = df.filter(F.col(label) == minority).select(
@@ -63,7 +69,8 @@ def oversample(
     """The given rows and the synthetic ones: both classes are equally large afterwards."""
     columns = [key, *features, label]
     original = df.select(*[F.col(f"`{name}`") for name in columns])
-    if minority_plan(df, label)[2] == 0:
+    plan = minority_plan(df, label)
+    if plan[2] == 0:
         return original
-    new = synthetic_rows(df, features, k, seed, key, label).select(*[F.col(f"`{name}`") for name in columns])
+    new = synthetic_rows(df, features, k, seed, key, label, plan).select(*[F.col(f"`{name}`") for name in columns])
     return original.unionByName(new)

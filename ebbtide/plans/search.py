@@ -12,8 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from ebbtide.operators.classifiers import FittedClassifier, Variant, build_variant, fit_classifier, model_name
-from ebbtide.plans.scoring import ChurnScorer
-from ebbtide.plans.training import TrainingSets, cross_validate, metrics_on
+from ebbtide.plans.training import TrainingSets, cross_validate, metrics_on, scorer_of
 from ebbtide.sources.registry import TUNED_SCHEMA, write_tuned_metadata
 
 # Ranges of the search, for the parameters that exist in Spark ML.
@@ -133,7 +132,7 @@ def tuned_frame(spark: SparkSession, sets: TrainingSets, result: SearchResult) -
 
 
 def save_search(spark: SparkSession, sets: TrainingSets, result: SearchResult, path: str) -> None:
-    ChurnScorer(sets.matrices.state, result.fitted).save(spark, f"{path}/optimized_model")
+    scorer_of(sets, result.fitted).save(spark, f"{path}/optimized_model")
     write_tuned_metadata(tuned_frame(spark, sets, result), f"{path}/optimized_metadata")
 
 

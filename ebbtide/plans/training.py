@@ -7,7 +7,7 @@ one grouped plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
 
@@ -29,7 +29,7 @@ from ebbtide.plans.features import Matrices, model_matrices
 from ebbtide.plans.scoring import ChurnScorer
 from ebbtide.session import cut_lineage
 from ebbtide.sources.registry import RUN_SCHEMA, write_importances, write_run_metadata
-from ebbtide.sources.schema import LABEL
+from ebbtide.sources.schema import ID, LABEL
 from ebbtide.sources.tables import read_customers
 
 FOLDS = 5
@@ -58,7 +58,8 @@ class TrainingSets:
         if not smote:
             return rows
         if without_fold not in self.made:
-            self.made[without_fold] = cut_lineage(oversample(rows, self.features, seed=self.seed))
+            more = oversample(rows, self.features, seed=self.seed)
+            self.made[without_fold] = cut_lineage(more.sortWithinPartitions(ID))
         return self.made[without_fold]
 
     def held_out(self, fold: int) -> DataFrame:
@@ -131,14 +132,17 @@ def runs_frame(spark: SparkSession, runs: list[Run]) -> DataFrame:
     return spark.createDataFrame([run.as_row() for run in runs], RUN_SCHEMA)
 
 
-def scorer_of(sets: TrainingSets, run: Run) -> ChurnScorer:
-    return ChurnScorer(sets.matrices.state, run.fitted)
+def scorer_of(sets: TrainingSets, fitted: FittedClassifier) -> ChurnScorer:
+    """The fitted classifier with its encoder; a linear model is explained against the mean of the real training rows."""
+    if fitted.linear:
+        fitted = replace(fitted, linear=fitted.linear.with_background(sets.train))
+    return ChurnScorer(sets.matrices.state, fitted)
 
 
 def save_training(spark: SparkSession, sets: TrainingSets, runs: list[Run], path: str) -> None:
     """Best scorer, run metadata and importances under one directory."""
     best = best_of(runs)
-    scorer_of(sets, best).save(spark, f"{path}/best_model")
+    scorer_of(sets, best.fitted).save(spark, f"{path}/best_model")
     write_run_metadata(
         runs_frame(spark, runs),
         path=f"{path}/model_metadata",
