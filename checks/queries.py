@@ -264,16 +264,17 @@ def preview_rows(spark, sf_dir):
 @query
 def exact_medians(spark, sf_dir):
     table = training_table(spark, sf_dir)
-    rows = [(c, selection.exact_median(table, c)) for c in ("monthly_charges", "number_of_logins", "usage_hours")]
-    return spark.createDataFrame(rows, "column_name string, median double")
+    medians = selection.exact_medians(table, ["monthly_charges", "number_of_logins", "usage_hours"])
+    return spark.createDataFrame(list(medians.items()), "column_name string, median double")
 
 
 @query
 def rule_based_scores(spark, sf_dir):
     """Model-free probability with the medians of the table as fills."""
     table = training_table(spark, sf_dir)
-    fills = [selection.exact_median(table, c) for c in ("number_of_logins", "usage_hours")]
-    return table.select("customer_id", F.round(risk.rule_based_probability(*fills), 6).alias("churn_probability"))
+    fills = selection.exact_medians(table, ["number_of_logins", "usage_hours"])
+    probability = risk.rule_based_probability(fills["number_of_logins"], fills["usage_hours"])
+    return table.select("customer_id", F.round(probability, 6).alias("churn_probability"))
 
 
 # Split, folds, scaling, over-sampling -------------------------------------------------------------------------------
@@ -321,7 +322,7 @@ def class_weights(spark, sf_dir):
 @query
 def churner_neighbours(spark, sf_dir):
     """The five nearest churners of every churner, unscaled distance over the 18 features."""
-    churners = _matrix(spark, sf_dir).filter("churn = 1")
+    churners = cut_lineage(_matrix(spark, sf_dir).filter("churn = 1"))
     vec = F.array(*[F.col(f"`{name}`") for name in fixed_model.FEATURES])
     found = nearest_neighbours(churners.select(F.col("customer_id").alias("id"), vec.alias("vec")))
     near = found.select("id", F.posexplode("near").alias("place", "near"))
@@ -333,7 +334,7 @@ def churner_neighbours(spark, sf_dir):
 
 @query
 def synthetic_churners(spark, sf_dir):
-    made = smote.synthetic_rows(_matrix(spark, sf_dir), fixed_model.FEATURES)
+    made = smote.synthetic_rows(cut_lineage(_matrix(spark, sf_dir)), fixed_model.FEATURES)
     return rounded(
         made.select("customer_id", "seed_id", "neighbour_id", "gap", "tenure", "monthly_charges", "usage_hours"),
         "gap", "tenure", "monthly_charges", "usage_hours",
@@ -342,7 +343,7 @@ def synthetic_churners(spark, sf_dir):
 
 @query
 def balanced_class_counts(spark, sf_dir):
-    more = smote.oversample(_matrix(spark, sf_dir), fixed_model.FEATURES)
+    more = smote.oversample(cut_lineage(_matrix(spark, sf_dir)), fixed_model.FEATURES)
     return more.groupBy("churn").agg(F.count("*").alias("customers"))
 
 

@@ -26,6 +26,7 @@ BLOCK_ROWS = 2048
 MAX_CELLS = 4096
 CHUNK_POINTS = 8192
 SAMPLE_POINTS = 50_000
+PROBE_POINTS = 1024
 SLACK = 1e-9
 
 
@@ -50,10 +51,10 @@ def distinct_points(rows: DataFrame, k: int) -> DataFrame:
     return points.select(key.alias("point"), "vec", "ids", F.element_at("ids", 1).alias("first_id"))
 
 
-def _sample_tree(points: DataFrame, n: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Median splits on the widest column, in heap order, from a bounded repeatable sample."""
+def _sample_tree(points: DataFrame, n: int, block_rows: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """Median splits on the widest column, in heap order, and probe points, from a bounded repeatable sample."""
     if n <= block_rows:
-        return np.zeros(0, int), np.zeros(0), 0
+        return np.zeros(0, int), np.zeros(0), 0, np.zeros((0, 0))
     depth = min(int(math.log2(MAX_CELLS)), math.ceil(math.log2(2 * n / block_rows)))
     drawn = F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < F.lit(math.ceil(1e6 * min(1.0, SAMPLE_POINTS / n)))
     sample = np.array([row[0] for row in points.filter(drawn).select("vec").limit(2 * SAMPLE_POINTS).collect()])
@@ -66,12 +67,12 @@ def _sample_tree(points: DataFrame, n: int, block_rows: int) -> tuple[np.ndarray
             values[node] = float(np.median(part[:, dims[node]]))
         right = part[:, dims[node]] > values[node] if len(part) else np.zeros(0, bool)
         held[2 * node + 1], held[2 * node + 2] = part[~right], part[right]
-    return dims, values, depth
+    return dims, values, depth, sample[:PROBE_POINTS]
 
 
 def _cells(points: DataFrame, tree) -> DataFrame:
     """Adds the leaf cell of each point, and the coordinate along which the cell is next widest."""
-    dims, values, depth = tree
+    dims, values, depth, _ = tree
     if depth == 0:
         return points.withColumns({"cell": F.lit(0), "along": F.element_at("vec", 1)})
 
@@ -88,8 +89,10 @@ def _cells(points: DataFrame, tree) -> DataFrame:
 
 
 def _blocks(points: DataFrame, tree, block_rows: int) -> DataFrame:
-    order = Window.partitionBy("cell").orderBy("along", "point")
-    number = F.floor((F.row_number().over(order) - 1) / F.lit(block_rows)).cast("int")
+    """Cuts every cell into stretches of equal length, none longer than ``block_rows``."""
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("along", "point")) - 1
+    size = F.count("*").over(Window.partitionBy("cell"))
+    number = F.floor(place * F.ceil(size / F.lit(block_rows)) / size).cast("int")
     return _cells(points, tree).withColumn("block", number).drop("along")
 
 
@@ -105,13 +108,13 @@ def _kth(squared: np.ndarray, k: int) -> np.ndarray:
     return np.partition(squared, k, axis=1)[:, k]
 
 
-def _with_reach(blocks: DataFrame, k: int) -> DataFrame:
-    """Upper bound of the k-th distance of each point, from its own block (infinite if the block is too small)."""
+def _with_reach(blocks: DataFrame, k: int, probes: np.ndarray) -> DataFrame:
+    """Upper bound of the k-th distance of each point, from its own block, or from the probes if that is too small."""
 
     def bound(block: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(block["vec"].to_numpy())
-        steps = range(0, len(x), 256)
-        reach = np.concatenate([_kth(squared_distances(x[i : i + 256], x), k) for i in steps])
+        near = x if len(x) > k else probes
+        reach = np.concatenate([_kth(squared_distances(x[i : i + 256], near), k) for i in range(0, len(x), 256)])
         return pd.DataFrame({"point": block["point"], "vec": block["vec"], "cell": block["cell"], "reach": reach})
 
     inputs = blocks.select("point", "vec", "cell", "block")
@@ -213,13 +216,14 @@ def nearest_neighbours(
     n, width = head["n"], head["width"]
     if not n:
         raise ValueError("no rows to search")
-    blocks = cut_lineage(_blocks(points, _sample_tree(points, n, block_rows), block_rows))
+    tree = _sample_tree(points, n, block_rows)
+    blocks = cut_lineage(_blocks(points, tree, block_rows))
     points.unpersist()
     if n <= block_rows:
         visits = blocks.select("point", "vec", "cell", "block").toDF("point", "vec", "cell", "block")
     else:
         boxes = _boxes(blocks, width, ["cell", "block"])
-        visits = _visits(_with_reach(blocks, k), boxes, width)
+        visits = _visits(_with_reach(blocks, k, tree[3]), boxes, width)
     nearest = Window.partitionBy("point").orderBy("d2", "first_id")
     ranked = _search(visits, blocks, k, chunk_points).withColumn("r", F.row_number().over(nearest))
     spread = F.transform("near_ids", lambda i: F.struct(F.col("d2"), i.alias("id"), F.col("near_vec").alias("vec")))

@@ -24,49 +24,71 @@ def _grouped_values(df: DataFrame, value: Column, group: Column) -> DataFrame:
     return df.select(group.alias("g"), value.alias("v")).filter(F.col("v").isNotNull() & F.col("g").isNotNull())
 
 
-def _value_ranges(rows: DataFrame) -> dict:
-    """Row count, smallest and largest value per group; the number of groups is checked."""
-    found = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    found = found.limit(MAX_CLASSES + 1).collect()
+def _ordered_bins(bins: DataFrame) -> dict:
+    """(rows, smallest, largest value) of every non-empty bin in order, per group; the number of groups is checked."""
+    found = defaultdict(list)
+    rows = bins.limit((MAX_CLASSES + 1) * BINS).collect()
+    for row in sorted(rows, key=lambda row: (row["g"], row["bin"])):
+        found[row["g"]].append((row["n"], row["lo"], row["hi"]))
     if len(found) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    return {row["g"]: row for row in sorted(found, key=lambda row: row["g"])}
+    return dict(found)
+
+
+def _binned(rows: DataFrame, position: Column, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys, position.alias("bin")).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+
+
+def value_ranges(rows: DataFrame) -> dict:
+    """One bin per group: its size and range."""
+    return _ordered_bins(_binned(rows, F.lit(0), "g"))
+
+
+def hash_bins(rows: DataFrame) -> dict:
+    """A first histogram that needs no range: 60-bit hashes by their top 12 bits."""
+    return _ordered_bins(_binned(rows, F.shiftright("v", 48), "g"))
 
 
-def order_statistics(rows: DataFrame, limits: dict, ranks: dict) -> dict:
+def group_sizes(bins: dict) -> dict:
+    return {g: sum(n for n, _, _ in found) for g, found in bins.items()}
+
+
+def _locate(bins: list[tuple], rank: int) -> tuple:
+    """The rank inside the bin that holds it, and the bin's range."""
+    for n, lo, hi in bins:
+        if rank < n:
+            return rank, lo, hi
+        rank -= n
+    raise ValueError("rank is outside its group")
+
+
+def order_statistics(rows: DataFrame, bins: dict, ranks: dict) -> dict:
     """Exact values at 0-based ranks.
 
-    ``rows`` has a group ``g`` and a value ``v``; ``ranks`` maps a group to the ranks wanted in it, and the result maps
-    (group, rank) to the value. Ranks count every row, copies included. A value held by a third of all rows ends the
-    search early: its bin has one distinct value.
+    ``rows`` has a group ``g`` and a value ``v``, ``bins`` a first histogram of it; ``ranks`` maps a group to the ranks
+    wanted in it, and the result maps (group, rank) to the value. Ranks count every row, copies included. A value held
+    by a third of all rows ends the search early: its bin has one distinct value.
     """
-    answers, active = {}, {}
-    for g, wanted in ranks.items():
-        for rank in wanted:
-            if g not in limits or not 0 <= rank < limits[g]["n"]:
-                raise ValueError(f"rank {rank} is outside group {g!r}")
-            active[(g, rank)] = (rank, limits[g]["lo"], limits[g]["hi"])
+    answers = {}
+    active = {(g, rank): _locate(bins[g], rank) for g, wanted in ranks.items() for rank in wanted}
     while active:
         for target, (_, lo, hi) in list(active.items()):
             if lo == hi:
                 answers[target] = lo
                 del active[target]
-        if not active:
-            break
-        spans = sorted({(g, lo, hi) for (g, _), (_, lo, hi) in active.items()})
-        index = {span: i for i, span in enumerate(spans)}
-        by_bin = _histograms(rows, spans)
-        for target, (rank, lo, hi) in list(active.items()):
-            for count, low, high in by_bin[index[(target[0], lo, hi)]]:
-                if rank < count:
-                    active[target] = (rank, low, high)
-                    break
-                rank -= count
+        if active:
+            spans = sorted({(g, lo, hi) for (g, _), (_, lo, hi) in active.items()})
+            found = _histograms(rows, spans)
+            active = {
+                (g, r): _locate(found[spans.index((g, lo, hi))], rank) for (g, r), (rank, lo, hi) in active.items()
+            }
     return answers
 
 
 def _histograms(rows: DataFrame, spans: list[tuple]) -> dict[int, list[tuple]]:
-    """Ordered (count, min, max) per non-empty bin of every span, in one pass."""
+    """Ordered bins of every span, in one pass."""
     inside = F.array_compact(
         F.array(
             *[
@@ -79,28 +101,22 @@ def _histograms(rows: DataFrame, spans: list[tuple]) -> dict[int, list[tuple]]:
     for i, (_, lo, hi) in enumerate(spans):
         share = (F.col("v") - F.lit(lo)).cast("double") / F.lit(float(hi - lo)) * F.lit(float(BINS))
         position = F.when(F.col("span") == i, F.least(F.floor(share), F.lit(BINS - 1)).cast("int")).otherwise(position)
-    counted = (
-        rows.select("v", F.explode(inside).alias("span"))
-        .groupBy("span", position.alias("bin"))
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
-    )
     found = defaultdict(list)
+    counted = _binned(rows.select("v", F.explode(inside).alias("span")), position, "span").collect()
     for row in sorted(counted, key=lambda row: (row["span"], row["bin"])):
         found[row["span"]].append((row["n"], row["lo"], row["hi"]))
     return found
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """Median with the mean of the two middle values, NULLs left out."""
-    rows = _grouped_values(df, F.col(column).cast("double"), F.lit(0))
-    limits = _value_ranges(rows)
-    if not limits:
-        return None
-    n = limits[0]["n"]
-    low, high = (n - 1) // 2, n // 2
-    found = order_statistics(rows, limits, {0: [low, high]})
-    return (found[(0, low)] + found[(0, high)]) / 2
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Medians of several columns from the same passes, with the mean of the two middle values, NULLs left out."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("g"), F.col(c).cast("double").alias("v")) for c in columns]))
+    rows = df.select(pairs.alias("pair")).select("pair.*").filter("v IS NOT NULL")
+    bins = value_ranges(rows)
+    middle = {c: sorted({(n - 1) // 2, n // 2}) for c, n in group_sizes(bins).items()}
+    found = order_statistics(rows, bins, middle)
+    medians = {c: sum(found[(c, rank)] for rank in ranks) / len(ranks) for c, ranks in middle.items()}
+    return {c: medians.get(c) for c in columns}
 
 
 def test_quotas(counts: dict, test_size: float) -> dict:
@@ -130,10 +146,10 @@ def _cut_points(df: DataFrame, hashed: Column, label: str, plan) -> dict:
     ``plan`` turns the class counts into the cumulative counts to cut at.
     """
     rows = _grouped_values(df, hashed, F.col(label))
-    limits = _value_ranges(rows)
-    counts = {c: row["n"] for c, row in limits.items()}
+    bins = hash_bins(rows)
+    counts = group_sizes(bins)
     cuts = plan(counts)
-    found = order_statistics(rows, limits, {c: sorted({r for r in cuts[c] if r < counts[c]}) for c in cuts})
+    found = order_statistics(rows, bins, {c: sorted({r for r in cuts[c] if r < counts[c]}) for c in cuts})
     return {c: [found.get((c, r)) for r in cuts[c]] for c in cuts}
 
 
@@ -172,14 +188,14 @@ def stratified_folds(df: DataFrame, k: int = 5, seed=42, key: str = ID, label: s
 
 def lowest_hashed(df: DataFrame, quota: int, seed, key: str = ID) -> Column:
     """True for the ``quota`` rows that come first in hash order."""
+    if quota <= 0:
+        return F.lit(False)
     hashed = order_hash(F.col(key), seed)
     rows = _grouped_values(df, hashed, F.lit(0))
-    limits = _value_ranges(rows)
-    if quota <= 0 or not limits:
-        return F.lit(False)
-    if quota >= limits[0]["n"]:
+    bins = hash_bins(rows)
+    if quota >= sum(group_sizes(bins).values()):
         return F.lit(True)
-    return hashed < F.lit(order_statistics(rows, limits, {0: [quota]})[(0, quota)])
+    return hashed < F.lit(order_statistics(rows, bins, {0: [quota]})[(0, quota)])
 
 
 def hashed_sample(df: DataFrame, n: int, seed=42, key: str = ID) -> DataFrame:

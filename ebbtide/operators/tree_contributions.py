@@ -45,21 +45,15 @@ def node_table(spark: SparkSession, saved: str) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Leaves:
-    """Leaves with the same number of path features: (leaf, path position) arrays."""
-
-    feature: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    share: np.ndarray
-    value: np.ndarray
+class Ensemble:
+    """``groups`` holds, per number of path features, arrays over leaves: feature, low, high, share, leaf value.
 
+    Plain arrays, because they are broadcast to tasks.
+    """
 
-@dataclass(frozen=True)
-class Ensemble:
     base: float
     width: int
-    groups: list[Leaves]
+    groups: list[tuple]
 
 
 def _paths(tree: dict, node: int, path: dict, value_of, cover_of):
@@ -98,7 +92,7 @@ def read_ensemble(spark: SparkSession, saved: str, width: int, boosting: bool) -
     for m, leaves in sorted(grouped.items()):
         items = [list(path.items()) for path, _ in leaves]
         groups.append(
-            Leaves(
+            (
                 np.array([[f for f, _ in item] for item in items]),
                 np.array([[b[0] for _, b in item] for item in items]),
                 np.array([[b[1] for _, b in item] for item in items]),
@@ -109,26 +103,25 @@ def read_ensemble(spark: SparkSession, saved: str, width: int, boosting: bool) -
     return Ensemble(base, width, groups)
 
 
-def contributions(ensemble: Ensemble, x: np.ndarray) -> np.ndarray:
+def contributions(groups: list[tuple], width: int, x: np.ndarray) -> np.ndarray:
     """Contribution of every feature (columns) for every row."""
-    total = np.zeros((len(x), ensemble.width))
-    for group in ensemble.groups:
-        m = group.feature.shape[1]
+    total = np.zeros((len(x), width))
+    for leaves in groups:
+        m = leaves[0].shape[1]
         points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
         step = max(1, CELLS_AT_ONCE // (m * ROWS_AT_ONCE))
-        for start in range(0, len(group.value), step):
-            part = slice(start, start + step)
-            feature, share = group.feature[part], group.share[part]
-            to_feature = np.zeros((feature.size, ensemble.width))
+        for start in range(0, len(leaves[0]), step):
+            feature, low, high, share, value = (array[start : start + step] for array in leaves)
+            to_feature = np.zeros((feature.size, width))
             to_feature[np.arange(feature.size), feature.ravel()] = 1.0
             for i in range(0, len(x), ROWS_AT_ONCE):
                 seen = x[i : i + ROWS_AT_ONCE][:, feature]
-                inside = ((seen > group.low[part]) & (seen <= group.high[part])).astype(float)
+                inside = ((seen > low) & (seen <= high)).astype(float)
                 average = np.zeros_like(inside)
                 for t, w in zip((points + 1) / 2, weights / 2):
                     factor = share * (1 - t) + inside * t
                     average += w * factor.prod(axis=2, keepdims=True) / factor
-                parts = group.value[part][None, :, None] * (inside - share) * average
+                parts = value[None, :, None] * (inside - share) * average
                 total[i : i + ROWS_AT_ONCE] += parts.reshape(len(parts), -1) @ to_feature
     return total
 
@@ -142,14 +135,14 @@ def ensemble_of(spark: SparkSession, fitted: FittedClassifier) -> Ensemble:
 def with_tree_contributions(df: DataFrame, fitted: FittedClassifier, output: str = "contributions") -> DataFrame:
     """Adds an array with one contribution per feature; they sum to the margin minus the base value."""
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(ensemble_of(spark, fitted))
     features = fitted.features
+    held = spark.sparkContext.broadcast(ensemble_of(spark, fitted).groups)
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
 
     def explain(batches):
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
-            yield batch.assign(**{output: list(contributions(held.value, x))})
+            yield batch.assign(**{output: list(contributions(held.value, len(features), x))})
 
     return df.mapInPandas(explain, schema)
 

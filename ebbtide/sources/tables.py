@@ -42,17 +42,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.nanvl(F.col(name), F.lit(None)) for name in floats}) if floats else df
 
 
-def _from_text(name: str) -> tuple[Column, Column]:
-    """The typed value of a text cell, and whether the cell holds text that is no such value."""
-    cell = F.col(name)
-    cell = F.when(~F.trim(cell).isin(*NULL_TOKENS), cell)
-    wanted = COLUMN_TYPES[name]
+def _typed(name: str, found: str) -> tuple[Column, Column]:
+    """The value of a cell in the declared type, and whether the cell holds something that is no such value."""
+    cell, wanted = F.col(name), COLUMN_TYPES[name]
+    if found == "string":
+        cell = F.when(~F.trim(cell).isin(*NULL_TOKENS), cell)
+    elif found in ("double", "float"):
+        cell = F.nanvl(cell, F.lit(None))
     if isinstance(wanted, T.StringType):
-        return cell, F.lit(False)
+        return cell.cast("string"), F.lit(False)
     number = F.nanvl(cell.try_cast("double"), F.lit(None))
     if isinstance(wanted, T.IntegerType):
-        whole = F.when(number == F.rint(number), number).try_cast("int")
-        return whole, cell.isNotNull() & whole.isNull()
+        number = F.when(number == F.rint(number), number).try_cast("int")
     return number, cell.isNotNull() & number.isNull()
 
 
@@ -74,23 +75,16 @@ def conform(df: DataFrame, with_label: bool = True, malformed: str = "error") ->
             if name in OPTIONAL or name == ID:
                 values[name] = F.lit(None).cast(wanted)
             continue
-        if present[name] == "string":
-            values[name], bad = _from_text(name)
-            if not isinstance(wanted, T.StringType):
-                flags.append((name, bad))
-        elif present[name] in ("double", "float") and not isinstance(wanted, T.IntegerType):
-            values[name] = F.nanvl(F.col(name), F.lit(None)).cast(wanted)
-        elif present[name] in ("double", "float"):
-            values[name] = F.nanvl(F.col(name), F.lit(None)).cast("double").cast(wanted)
-        else:
-            values[name] = F.col(name).cast(wanted)
+        values[name], bad = _typed(name, present[name])
+        if present[name] != wanted.simpleString() and not isinstance(wanted, T.StringType):
+            flags.append((name, bad))
     if flags and malformed == "collect":
         values["malformed_columns"] = F.array_compact(
             F.array(*[F.when(bad, F.lit(name)) for name, bad in flags])
         )
     elif flags:
         for name, bad in flags:
-            message = F.concat(F.lit(f"not a value of column {name}: "), F.col(name))
+            message = F.concat(F.lit(f"not a value of column {name}: "), F.col(name).cast("string"))
             values[name] = F.when(bad, F.raise_error(message).cast(COLUMN_TYPES[name])).otherwise(values[name])
     extra = [F.col(f"`{name}`") for name in df.columns if name not in values and name != LABEL]
     return df.select(*[column.alias(name) for name, column in values.items()], *extra)
