@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import fixed_model
 from ebbtide.functions import risk
-from ebbtide.functions.reasons import contribution_reasons, contribution_structs
+from ebbtide.functions.reasons import with_contribution_reasons
 from ebbtide.operators import checks as rules
 from ebbtide.operators import encoding, evaluate, gates, linear, monitoring, reports, selection, smote, weights
 from ebbtide.operators.classifiers import build_variant, fit_classifier, importance_table
@@ -605,10 +605,9 @@ def tree_contribution_reasons(spark, sf_dir):
     sets = _sets(spark, sf_dir)
     fitted = fit_classifier(sets.train, sets.features, build_variant("gradient_boosting", False, n_estimators=10))
     explained = with_tree_contributions(fitted.transform(sets.test), fitted)
-    values = [F.col(f"`{name}`") for name in sets.features]
     parts = [F.element_at("contributions", i + 1) for i in range(len(sets.features))]
-    texts = contribution_reasons(contribution_structs(sets.features, values, parts))
-    return explained.select("customer_id", risk.join_texts(texts).alias("top_reasons"))
+    told = with_contribution_reasons(explained, sets.features, parts)
+    return told.select("customer_id", risk.join_texts(F.col("top_reasons")).alias("top_reasons"))
 
 
 @query

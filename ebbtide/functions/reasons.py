@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.risk import TOP_REASONS
@@ -37,38 +37,42 @@ def feature_label(name: str) -> str:
     return FEATURE_LABELS.get(name, name.replace("_", " ")).capitalize()
 
 
-def contribution_structs(features: list[str], values: list[Column], contributions: list[Column]) -> Column:
-    """One struct per feature, sortable by falling size and then by position."""
-    return F.array(
-        *[
-            F.struct(
-                (-F.abs(part)).alias("order"),
-                F.lit(i).alias("position"),
-                F.lit(feature_label(name)).alias("label"),
-                value.cast("double").alias("value"),
-                part.alias("contribution"),
-            )
-            for i, (name, value, part) in enumerate(zip(features, values, contributions))
-        ]
-    )
-
-
-def top_contributions(structs: Column, top: int = TOP_REASONS) -> Column:
-    """The largest risk-raising parts if there are enough of them, else the largest parts of either sign."""
-    raising = F.filter(structs, lambda part: part["contribution"] > 0)
-    chosen = F.when(F.size(raising) >= top, raising).otherwise(structs)
-    return F.slice(F.array_sort(chosen), 1, top)
-
-
-def contribution_sentence(part: Column) -> Column:
+def _sentence(part: Column, labels: Column) -> Column:
     size = F.abs(part["contribution"])
     magnitude = F.when(size >= SIGNIFICANT, "significantly").when(size >= MODERATE, "moderately").otherwise("slightly")
     direction = F.when(part["contribution"] > 0, "increases").otherwise("decreases")
     return F.concat(
-        part["label"], F.lit(" ("), fixed_text(part["value"], 2), F.lit(") "),
+        F.element_at(labels, part["position"]), F.lit(" ("), fixed_text(part["value"], 2), F.lit(") "),
         direction, F.lit(" churn risk "), magnitude,
     )
 
 
-def contribution_reasons(structs: Column, top: int = TOP_REASONS) -> Column:
-    return F.transform(top_contributions(structs, top), contribution_sentence)
+def with_contribution_reasons(
+    df: DataFrame,
+    features: list[str],
+    contributions: list[Column],
+    output: str = "top_reasons",
+    top: int = TOP_REASONS,
+) -> DataFrame:
+    """Adds sentences for the largest risk-raising parts, or for the largest parts of either sign if those are too few.
+
+    The parts become an array that sorts by: in the running, falling size, position. Sorting, picking and formatting
+    need no lambda and so stay in generated code; the sorted array is its own projection, computed once per row.
+    """
+    labels = F.array(*[F.lit(feature_label(name)) for name in features])
+    raising = sum((F.when(part > 0, 1).otherwise(0) for part in contributions), F.lit(0))
+    rows = df.withColumn("enough_raising", raising >= top)
+    parts = [
+        F.struct(
+            (F.col("enough_raising") & (part <= 0)).alias("out"),
+            (-F.abs(part)).alias("order"),
+            F.lit(i).alias("position"),
+            F.col(f"`{name}`").cast("double").alias("value"),
+            part.alias("contribution"),
+        )
+        for i, (name, part) in enumerate(zip(features, contributions), 1)
+    ]
+    rows = rows.withColumn("ranked_parts", F.slice(F.sort_array(F.array(*parts)), 1, top))
+    places = range(min(top, len(features)))
+    texts = F.array(*[_sentence(F.get("ranked_parts", F.lit(i)), labels) for i in places])
+    return rows.withColumn(output, texts).drop("ranked_parts", "enough_raising")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,11 +63,18 @@ def is_monthly_contract() -> Column:
     return F.lower(F.col("contract_type")).contains("month")
 
 
-def _texts_or(default: Column, *texts: Column, at_most: int | None = None) -> Column:
-    found = F.array_compact(F.array(*texts))
+def _texts(default: Column, rules: list[tuple[Column, Column]], at_most: int | None = None) -> Column:
+    """Texts of the rules that fire, in order, or the default.
+
+    Short arrays are concatenated rather than filtered: that stays in generated code, and each text is built only
+    where its rule fires.
+    """
+    none = F.array().cast("array<string>")
+    fires = [F.coalesce(condition, F.lit(False)) for condition, _ in rules]
+    found = F.concat(*[F.when(fire, F.array(text)).otherwise(none) for fire, (_, text) in zip(fires, rules)])
     if at_most is not None:
         found = F.slice(found, 1, at_most)
-    return F.when(F.size(found) == 0, F.array(default)).otherwise(found)
+    return F.when(reduce(lambda a, b: a | b, fires), found).otherwise(F.array(default))
 
 
 def retention_strategy(engagement: Column | None = None) -> Column:
@@ -78,12 +87,14 @@ def retention_strategy(engagement: Column | None = None) -> Column:
     escalate = F.concat(
         F.lit("Escalate to a Priority Support Agent ("), calls.cast("string"), F.lit(" support calls logged)")
     )
-    return _texts_or(
+    return _texts(
         F.lit(ACTION_NONE),
-        F.when(charges > HIGH_CHARGES, discount),
-        F.when(calls >= MANY_SUPPORT_CALLS, escalate),
-        F.when(is_monthly_contract(), F.lit(ACTION_MONTHLY)),
-        F.when(engagement < LOW_ENGAGEMENT, F.lit(ACTION_ENGAGEMENT)),
+        [
+            (charges > HIGH_CHARGES, discount),
+            (calls >= MANY_SUPPORT_CALLS, escalate),
+            (is_monthly_contract(), F.lit(ACTION_MONTHLY)),
+            (engagement < LOW_ENGAGEMENT, F.lit(ACTION_ENGAGEMENT)),
+        ],
     )
 
 
@@ -100,25 +111,27 @@ def rule_reasons(probability: Column) -> Column:
         fixed_text(probability * F.lit(100.0), 1),
         "% detected — load model with background data for detailed SHAP reasons",
     )
-    return _texts_or(
+    return _texts(
         nothing_found,
-        F.when(
-            tenure < SHORT_TENURE,
-            sentence("Short account tenure (", tenure.cast("string"), " months) increases churn risk significantly"),
-        ),
-        F.when(
-            charges > HIGH_CHARGES,
-            sentence("High monthly charges ($", fixed_text(charges, 0), ") increase churn risk moderately"),
-        ),
-        F.when(
-            calls >= MANY_SUPPORT_CALLS,
-            sentence("High support call volume (", calls.cast("string"), " calls) indicates service friction"),
-        ),
-        F.when(is_monthly_contract(), F.lit(REASON_MONTHLY)),
-        F.when(
-            engagement < LOW_ENGAGEMENT,
-            sentence("Low engagement score (", fixed_text(engagement, 2), ") suggests reduced product attachment"),
-        ),
+        [
+            (
+                tenure < SHORT_TENURE,
+                sentence("Short account tenure (", tenure.cast("string"), " months) increases churn risk significantly"),
+            ),
+            (
+                charges > HIGH_CHARGES,
+                sentence("High monthly charges ($", fixed_text(charges, 0), ") increase churn risk moderately"),
+            ),
+            (
+                calls >= MANY_SUPPORT_CALLS,
+                sentence("High support call volume (", calls.cast("string"), " calls) indicates service friction"),
+            ),
+            (is_monthly_contract(), F.lit(REASON_MONTHLY)),
+            (
+                engagement < LOW_ENGAGEMENT,
+                sentence("Low engagement score (", fixed_text(engagement, 2), ") suggests reduced product attachment"),
+            ),
+        ],
         at_most=TOP_REASONS,
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +46,19 @@ def violations(malformed: str | None = None) -> Column:
 
     ``malformed`` names the column that lists cells whose text is not a number.
     """
-    codes = [F.when(F.col(name).isNull(), F.lit(f"missing:{name}")) for name in REQUIRED]
+    faults = [(F.col(name).isNull(), f"missing:{name}") for name in REQUIRED]
     for name, rule in RANGES.items():
         column = F.col(name)
         bad = column < rule.low if rule.low_is_allowed else column <= rule.low
         if rule.high is not None:
             bad = bad | (column > rule.high)
-        codes.append(F.when(bad, F.lit(f"range:{name}")))
+        faults.append((F.coalesce(bad, F.lit(False)), f"range:{name}"))
     for name, allowed in CATEGORIES.items():
-        codes.append(F.when(~F.col(name).isin(*allowed), F.lit(f"category:{name}")))
-    found = F.array_compact(F.array(*codes))
+        faults.append((F.coalesce(~F.col(name).isin(*allowed), F.lit(False)), f"category:{name}"))
+    # Only rows with a fault pay for building the list.
+    any_fault = reduce(lambda a, b: a | b, [bad for bad, _ in faults])
+    listed = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in faults]))
+    found = F.when(any_fault, listed).otherwise(F.array().cast("array<string>"))
     if malformed:
         found = F.concat(found, F.transform(F.col(malformed), lambda name: F.concat(F.lit("malformed:"), name)))
     return found

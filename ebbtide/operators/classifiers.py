@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.linear import LinearModel, ScalerState, fit_scaler, scaled_columns
 from ebbtide.operators.weights import class_weight_column
+from ebbtide.session import ensure_checkpoints
 from ebbtide.sources.schema import LABEL
 
 MODEL_NAMES = ("logistic_regression", "random_forest", "gradient_boosting")
@@ -128,6 +129,7 @@ def fit_classifier(rows: DataFrame, features: list[str], variant: Variant, label
     labelled = rows.withColumns({"label": F.col(label).cast("double"), "weight": weight})
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     if variant.model != "logistic_regression":
+        ensure_checkpoints(rows.sparkSession)
         model = _estimator(variant, total).fit(assembler.transform(labelled).select("features", "label", "weight"))
         return FittedClassifier(variant, features, stages=PipelineModel(stages=[assembler, model]))
     scaler = fit_scaler(rows, features)
@@ -180,6 +182,3 @@ def load_classifier(spark: SparkSession, path: str) -> FittedClassifier:
     )
     return FittedClassifier(variant, features, linear=linear)
 
-
-def with_params(variant: Variant, **params) -> Variant:
-    return replace(variant, params={**variant.params, **params})

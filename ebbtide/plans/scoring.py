@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions import risk
 from ebbtide.functions.features import tenure_group_position
-from ebbtide.functions.reasons import contribution_reasons, contribution_structs
+from ebbtide.functions.reasons import with_contribution_reasons
 from ebbtide.operators.checks import require_clean, split_rejects
 from ebbtide.operators.classifiers import FittedClassifier, load_classifier, save_classifier
 from ebbtide.operators.encoding import EncoderState, engineered, impute
@@ -97,16 +97,13 @@ class ChurnScorer:
 
     def _linear_reasons(self, rows: DataFrame) -> DataFrame:
         linear = self.classifier.linear
-        values = [F.col(f"`{name}`") for name in linear.features]
-        structs = contribution_structs(linear.features, values, linear.contributions())
-        return rows.withColumn("top_reasons", contribution_reasons(structs))
+        return with_contribution_reasons(rows, linear.features, linear.contributions())
 
     def _tree_reasons(self, rows: DataFrame) -> DataFrame:
         features = self.classifier.features
         rows = with_tree_contributions(rows, self.classifier)
-        values = [F.col(f"`{name}`") for name in features]
-        parts = [F.element_at("contributions", i + 1) for i in range(len(features))]
-        return rows.withColumn("top_reasons", contribution_reasons(contribution_structs(features, values, parts)))
+        parts = [F.element_at("contributions", i) for i in range(1, len(features) + 1)]
+        return with_contribution_reasons(rows, features, parts)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.state.save(spark, f"{path}/encoder")

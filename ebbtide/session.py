@@ -8,17 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings worth having on a cluster too. Scoring is one wide projection; the JVM leaves methods above 8,000 bytes
+# uncompiled, so such a stage must fall back to per-operator code, which Spark splits into small methods.
+TUNING = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def local_session(app: str = "ebbtide", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Single-JVM session for tests and benches; a cluster job brings its own session."""
+    builder = SparkSession.builder
+    for name, setting in TUNING.items():
+        builder = builder.config(name, setting)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,6 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let iterative fits checkpoint into the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder as Parquet and go on from the written copy.
 

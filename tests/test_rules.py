@@ -118,8 +118,8 @@ def test_all_rules_and_first_three_reasons(spark):
 
 def ranked(spark, parts):
     names = [f"part_{i}" for i in range(len(parts))]
-    structs = reasons.contribution_structs(names, [F.lit(1.005)] * len(parts), [F.lit(float(x)) for x in parts])
-    return value(spark, reasons.contribution_reasons(structs))
+    df = spark.range(1).select(*[F.lit(1.005).alias(name) for name in names])
+    return reasons.with_contribution_reasons(df, names, [F.lit(float(x)) for x in parts]).first()["top_reasons"]
 
 
 def test_contribution_ranking(spark):
