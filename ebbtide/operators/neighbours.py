@@ -62,9 +62,12 @@ def _sample_tree(points: DataFrame, n: int, block_rows: int) -> tuple[np.ndarray
     held = {0: sample}
     for node in range(2**depth - 1):
         part = held.pop(node)
-        if len(part) > 1:
-            dims[node] = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-            values[node] = float(np.median(part[:, dims[node]]))
+        spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(1)
+        if spread.max() > 0:
+            dims[node] = int(np.argmax(spread))
+            along = part[:, dims[node]]
+            # Below the largest value, so that a value shared by most points still splits off.
+            values[node] = min(float(np.median(along)), float(along[along < along.max()].max()))
         right = part[:, dims[node]] > values[node] if len(part) else np.zeros(0, bool)
         held[2 * node + 1], held[2 * node + 2] = part[~right], part[right]
     return dims, values, depth, sample[:PROBE_POINTS]
@@ -96,10 +99,11 @@ def _blocks(points: DataFrame, tree, block_rows: int) -> DataFrame:
     return _cells(points, tree).withColumn("block", number).drop("along")
 
 
-def _boxes(blocks: DataFrame, width: int, keys: list[str]) -> DataFrame:
+def _boxes(blocks: DataFrame, width: int) -> DataFrame:
+    """Smallest and largest coordinates of every block."""
     lows = F.array(*[F.min(F.element_at("vec", i + 1)) for i in range(width)])
     highs = F.array(*[F.max(F.element_at("vec", i + 1)) for i in range(width)])
-    return blocks.groupBy(*keys).agg(lows.alias("lows"), highs.alias("highs"))
+    return blocks.groupBy("cell", "block").agg(lows.alias("lows"), highs.alias("highs"))
 
 
 def _kth(squared: np.ndarray, k: int) -> np.ndarray:
@@ -222,8 +226,8 @@ def nearest_neighbours(
     if n <= block_rows:
         visits = blocks.select("point", "vec", "cell", "block").toDF("point", "vec", "cell", "block")
     else:
-        boxes = _boxes(blocks, width, ["cell", "block"])
-        visits = _visits(_with_reach(blocks, k, tree[3]), boxes, width)
+        boxes = cut_lineage(_boxes(blocks, width))
+        visits = cut_lineage(_visits(_with_reach(blocks, k, tree[3]), boxes, width))
     nearest = Window.partitionBy("point").orderBy("d2", "first_id")
     ranked = _search(visits, blocks, k, chunk_points).withColumn("r", F.row_number().over(nearest))
     spread = F.transform("near_ids", lambda i: F.struct(F.col("d2"), i.alias("id"), F.col("near_vec").alias("vec")))

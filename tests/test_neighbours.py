@@ -50,6 +50,13 @@ def test_ties_on_a_grid_and_constant_columns(spark):
     check(spark, grid, block_rows=25)
 
 
+def test_widest_column_is_mostly_one_value(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3))
+    x[:, 0] = np.where(rng.random(500) < 0.9, 1000.0, 0.0)
+    check(spark, x, block_rows=25)
+
+
 def test_clusters_and_outliers(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(400, 2)) * 0.001, rng.normal(size=(100, 2)) + 1000, [[1e6, -1e6]]])
