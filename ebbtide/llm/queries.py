@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, language_id, near_dedup
+from ebbtide.llm import bpe, language_id, near_dedup, pii
 from ebbtide.llm.texts import fold_of, read_table
 
 
@@ -42,10 +42,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans: str, kind: Callable) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in pii.PATTERNS]
+    base = joined("base", lambda s: s["kind"])
+    every = F.concat_ws(",", F.when(F.size("base") > 0, base), joined("terms", lambda s: F.lit("term")))
+    n_terms = F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), n_terms)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
 }
 
 SQL: dict[str, str] = {}
