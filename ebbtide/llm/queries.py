@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, language_id, near_dedup, pii
+from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii
 from ebbtide.llm.texts import fold_of, read_table
 
 
@@ -34,6 +34,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = fold_of("doc_id", 3)
@@ -61,6 +65,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
 }
