@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii, quality_rules
+from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii, quality_rules, token_files
 from ebbtide.llm.texts import fold_of, read_table
+from ebbtide.session import shared_dir
 
 
 def vocabulary_path() -> str:
@@ -38,6 +40,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(read_table(spark, sf_dir, "documents"), folder, vocabulary_path(), end_id=2)
+    return token_files.read_back(spark, folder)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
