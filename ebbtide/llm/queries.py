@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii, quality_rules, token_files
+from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii, quality_rules, token_files, toxicity
 from ebbtide.llm.texts import fold_of, read_table
 from ebbtide.session import shared_dir
 
@@ -50,6 +50,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    fold = fold_of("doc_id", 4)
+    model = toxicity.learn(documents, labels.where(fold != 2))
+    scored = documents.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), toxicity.score(documents, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = fold_of("doc_id", 3)
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
 }
