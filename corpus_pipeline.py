@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, language_id
+from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii
 from ebbtide.llm.queries import vocabulary_path
 from ebbtide.llm.texts import read_table
 from ebbtide.session import shared_dir
@@ -27,6 +27,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where((F.col("found.lang_pred") != language_id.UNDETERMINED) & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 5-word shingles at similarity 0.8 the document with the smallest id stays."""
+    judged = near_dedup.near_duplicates(docs, words=5, similarity=80)
+    return docs.join(judged.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item, also one with other numbers, names or units."""
+    return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalise personal data to its kind and remove the terms that reveal it; no document goes."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them: `round_trip` says whether the text came back."""
     path = vocabulary_path()
@@ -44,6 +61,9 @@ def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("pii", remove_personal_data),
     ("bpe", encode_bpe),
 ]
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, decontamination, language_id, near_dedup, pii, quality_rules, token_files, toxicity
+from ebbtide.llm import bpe, decontamination, language_id, licences, near_dedup, pii, quality_attention, quality_rules, token_files, toxicity
 from ebbtide.llm.texts import fold_of, read_table
 from ebbtide.session import shared_dir
 
@@ -40,6 +40,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(read_table(spark, sf_dir, "documents"), folder, vocabulary_path(), end_id=2)
@@ -82,15 +86,25 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), n_terms)
 
 
+def op10_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    fold = fold_of("doc_id", 5)
+    model = quality_attention.learn(documents, labels.where(fold != 0))
+    scored = documents.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), quality_attention.score(documents, model).alias("found"))
+    return scored.select("doc_id", "held_out", "found.*").withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_licences": op4_licences,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
+    "op10_quality_attention": op10_quality_attention,
 }
 
 SQL: dict[str, str] = {}
