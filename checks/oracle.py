@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from checks import fixed_model
-from ebbtide.functions import reasons as reason_texts
 
 SQL = {}
 
@@ -195,6 +194,8 @@ RESULT = f"""SELECT customer_id, {exact('p', 4)} AS churn_probability, churn_lab
 sql("derived_customers", "SELECT * FROM churners")
 sql("labelled_csv_round_trip", "SELECT * FROM churners")
 sql("scoring_csv_round_trip", "SELECT * EXCLUDE (churn, total_charges), NULL::DOUBLE AS total_charges FROM churners")
+sql("mixed_header_folder", "SELECT * FROM churners")
+sql("result_csv_round_trip", RESULT, *scored())
 sql("normalised_headers", "SELECT * FROM churners")
 sql(
     "customer_id_fallback",
@@ -209,7 +210,11 @@ sql(
 )
 sql("value_rule_offenders", "SELECT customer_id, tenure FROM dirty WHERE tenure < 0 ORDER BY customer_id LIMIT 10")
 sql("record_violations", "SELECT customer_id, violations FROM ruled", RULES)
-sql("rejected_rows", "SELECT customer_id, violations FROM ruled WHERE violations <> ''", RULES)
+sql(
+    "rejected_rows",
+    "SELECT * FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS source_row_id, customer_id, violations FROM ruled) WHERE violations <> ''",
+    RULES,
+)
 sql(
     "accepted_rows_scored", RESULT, RULES,
     "clean AS (SELECT * EXCLUDE (violations) FROM ruled WHERE violations = '')", *scored("clean"),
@@ -237,10 +242,17 @@ def gate(rule: str, value: str, low: str, high: str) -> str:
     tests = [t for t in (f"v >= {low}" if low != "NULL" else "", f"v <= {high}" if high != "NULL" else "") if t]
     return (
         f"SELECT '{rule}' AS rule, round(v::DOUBLE, 6) AS value, {low}::DOUBLE AS min_allowed, {high}::DOUBLE AS max_allowed, "
-        f"coalesce({' AND '.join(tests)}, false) AS passed FROM (SELECT {value} AS v FROM dirty)"
+        f"coalesce({' AND '.join(tests)}, false) AS passed FROM (SELECT {value} AS v FROM spoiled)"
     )
 
 
+SPOILED = """
+spoiled AS (SELECT * REPLACE (CASE WHEN c_custkey % 41 <> 0 THEN customer_id END AS customer_id, support_calls::BIGINT AS support_calls)
+  FROM (SELECT * FROM dirty UNION ALL SELECT * FROM dirty WHERE c_custkey % 50 = 0 UNION ALL SELECT * FROM dirty WHERE c_custkey % 50 = 0))"""
+WHOLE_NUMBERS, FRACTIONS = ("tenure", "support_calls", "churn"), ("monthly_charges", "number_of_logins", "usage_hours", "total_charges")
+WRONG_TYPES = " + ".join(
+    [f"(max(typeof({c})) <> 'INTEGER')::INT" for c in WHOLE_NUMBERS] + [f"(max(typeof({c})) <> 'DOUBLE')::INT" for c in FRACTIONS]
+)
 sql(
     "data_gate_table",
     " UNION ALL ".join(
@@ -249,10 +261,11 @@ sql(
             gate("churn_rate", "avg(churn)", "0.1", "0.4"),
             gate("negative_tenure", "count(*) FILTER (WHERE tenure < 0)", "NULL", "0.0"),
             gate("charges_not_positive", "count(*) FILTER (WHERE monthly_charges <= 0)", "NULL", "0.0"),
-            gate("duplicate_ids", "count(*) - count(DISTINCT customer_id)", "NULL", "0.0"),
-            gate("type_faults", "0 * count(*)", "NULL", "0.0"),
+            gate("duplicate_ids", "(SELECT count(*) FROM (SELECT customer_id FROM spoiled WHERE customer_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1))", "NULL", "0.0").replace(" FROM (SELECT (SELECT", " FROM (SELECT DISTINCT (SELECT"),
+            gate("type_faults", WRONG_TYPES, "NULL", "0.0"),
         ]
     ),
+    SPOILED,
 )
 
 # Features and encoding
@@ -431,7 +444,28 @@ sql(
     "linear_contributions", f"SELECT customer_id, feature, round(contribution, 6) AS contribution FROM ({CENTRED})",
     imputed("churners"), FIXED_MAXIMA, MATRIX,
 )
-LABELS = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{reason_texts.feature_label(f)}'" for f in fixed_model.FEATURES) + " END"
+# The text that stands for each feature in a reason.
+FEATURE_LABELS = {
+    "tenure": "Account tenure",
+    "monthly_charges": "Monthly charges",
+    "total_charges": "Total charges to date",
+    "support_calls": "Number of support calls",
+    "number_of_logins": "Login frequency",
+    "usage_hours": "Usage hours",
+    "customer_lifetime_value": "Customer lifetime value",
+    "engagement_score": "Overall engagement score",
+    "support_interaction_ratio": "Support call rate",
+    "charge_ratio": "Charge-to-total ratio",
+    "tenure_group": "Tenure group",
+    "contract_type_One Year": "One-year contract status",
+    "contract_type_Two Year": "Two-year contract status",
+    "internet_service_Fiber Optic": "Fiber optic service",
+    "internet_service_No": "No internet service",
+    "payment_method_Credit Card": "Credit card payment",
+    "payment_method_Electronic Check": "Electronic check payment",
+    "payment_method_Mailed Check": "Mailed check payment",
+}
+LABELS = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{text}'" for f, text in FEATURE_LABELS.items()) + " END"
 sql(
     "contribution_reasons_text",
     f"""SELECT customer_id, string_agg({LABELS} || printf(' (%.2f) ', v) || CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END
@@ -452,7 +486,7 @@ sql(
 sql(
     "batch_summary",
     "SELECT count(*) AS total, sum(churn_label)::BIGINT AS predicted_churn, count(*) FILTER (WHERE risk_segment IN ('High', 'Critical')) AS high_risk_count, "
-    "round(sum(expected_revenue_loss), 2) AS total_expected_loss FROM scored",
+    "sum(CAST(round(expected_revenue_loss * 100) AS BIGINT))::DOUBLE / 100e0 AS total_expected_loss FROM scored",
     *scored(),
 )
 
@@ -460,7 +494,7 @@ sql(
 def log(batch: str) -> str:
     high = "count(*) FILTER (WHERE risk_segment IN ('High', 'Critical'))"
     return f"""log AS (SELECT {batch} AS batch_id, count(*) AS total, {rint(f"avg({exact('p', 4)}) * 100e0", 2)} AS avg_prob,
-  {rint(f'{high} / count(*) * 100e0', 2)} AS high_risk_pct, {rint('sum(expected_revenue_loss)', 2)} AS total_loss FROM scored GROUP BY 1)"""
+  {rint(f'{high} / count(*) * 100e0', 2)} AS high_risk_pct, sum(CAST(round(expected_revenue_loss * 100) AS BIGINT))::DOUBLE / 100e0 AS total_loss FROM scored GROUP BY 1)"""
 
 
 ALERTS = "SELECT *, high_risk_pct > 70 AS alert, CASE WHEN avg_prob > 50 THEN 'HIGH' ELSE 'OK' END AS probability_status FROM log"
@@ -479,7 +513,7 @@ sql(
     *BY_NATION,
 )
 sql("appended_log", "SELECT * FROM log", *BY_NATION)
-sql("stream_scoring_log", ALERTS, *scored("churners"), log("0::BIGINT"))
+sql("stream_scoring_log", ALERTS, *scored(), log("(c_nationkey % 2)::BIGINT"))
 
 # Metrics
 SCORES = [imputed("churners"), FIXED_MAXIMA, MATRIX, f"scores AS (SELECT customer_id, churn, round({probability()}, 4) AS p FROM matrix)"]
@@ -515,6 +549,23 @@ sql(
     f"SELECT round(avg(roc_auc), 6) AS cv_mean, round(stddev_pop(roc_auc), 6) AS cv_std FROM (SELECT g, {AREA} FROM curve GROUP BY g)",
     *FOLD_SCORES,
 )
+sql(
+    "segments_of_unscored_rows",
+    "SELECT customer_id, CASE WHEN q >= 0.75 THEN 'Critical' WHEN q >= 0.5 THEN 'High' WHEN q >= 0.25 THEN 'Medium' WHEN q < 0.25 THEN 'Low' END AS risk_segment, "
+    "CAST(q >= 0.5 AS INT) AS churn_label FROM (SELECT *, CASE WHEN CAST(substr(customer_id, 6) AS BIGINT) % 7 > 0 THEN p END AS q FROM scores)",
+    *SCORES,
+)
+sql(
+    "metrics_with_a_null_group",
+    "SELECT contract, round(roc_auc, 4) AS roc_auc, round(pr_auc, 4) AS pr_auc, round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, "
+    "round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1 "
+    "FROM areas JOIN at_half ON areas.g IS NOT DISTINCT FROM at_half.contract",
+    imputed("churners"), FIXED_MAXIMA, MATRIX,
+    f"by_contract AS (SELECT CASE WHEN contract_type <> 'Two Year' THEN contract_type END AS contract, churn, round({probability()}, 4) AS p FROM matrix)",
+    curve("contract", "by_contract"), f"areas AS (SELECT g, {AREA} FROM curve GROUP BY g)",
+    """at_half AS (SELECT contract, count(*) FILTER (WHERE p >= 0.5 AND churn = 1) AS tp, count(*) FILTER (WHERE p >= 0.5 AND churn = 0) AS fp,
+  count(*) FILTER (WHERE p < 0.5 AND churn = 1) AS fn FROM by_contract GROUP BY contract)""",
+)
 PROFIT = "SELECT p AS threshold, flagged::BIGINT AS contacted, caught::BIGINT AS caught, caught * 500e0 - flagged * 120e0 AS profit FROM curve"
 sql("profit_curve", PROFIT, *SCORES, ONE, curve("g0", "one_group"))
 sql("most_profitable_threshold", f"{PROFIT} ORDER BY profit DESC, threshold DESC LIMIT 1", *SCORES, ONE, curve("g0", "one_group"))

@@ -68,6 +68,30 @@ def scoring_csv_round_trip(spark, sf_dir):
     return tables.read_customers(spark, path, with_label=False)
 
 
+def _write_mixed_headers(df: DataFrame, path: str) -> None:
+    """The rows as CSV in two layouts: as declared, and turned around with other spellings."""
+    turned = {"monthly_charges": "Monthly Charges", "tenure": " TENURE "}
+    even = F.crc32("customer_id") % 2 == 0
+    df.filter(even).write.option("header", True).csv(f"{path}/a")
+    df.filter(~even).select(*reversed(df.columns)).withColumnsRenamed(turned).write.option("header", True).csv(f"{path}/b")
+
+
+@query
+def mixed_header_folder(spark, sf_dir):
+    path = scratch(spark, "mixed-csv")
+    _write_mixed_headers(training_table(spark, sf_dir), path)
+    return tables.read_customers(spark, f"{path}/*")
+
+
+@query
+def result_csv_round_trip(spark, sf_dir):
+    """Scored rows written as CSV parts and read back."""
+    path = scratch(spark, "results")
+    sinks.write_results_csv(_scored(spark, sf_dir), path)
+    types = "customer_id string, churn_probability double, churn_label int, risk_segment string, expected_revenue_loss double, retention_strategy string, top_reasons string"
+    return spark.read.option("header", True).schema(types).csv(path)
+
+
 @query
 def normalised_headers(spark, sf_dir):
     odd = {"monthly_charges": " Monthly Charges ", "tenure": "  Tenure", "contract_type": "Contract   Type"}
@@ -104,8 +128,13 @@ def record_violations(spark, sf_dir):
 
 @query
 def rejected_rows(spark, sf_dir):
-    _, rejects = fixed_model.scorer().score_lenient(customers_dirty(spark, sf_dir))
-    return rejects.select("customer_id", risk.join_texts(F.col("violations")).alias("violations"))
+    """Rejects of a file, with their position in it."""
+    path = scratch(spark, "dirty-csv")
+    dirty = customers_dirty(spark, sf_dir).orderBy("c_custkey").drop("c_custkey", "c_nationkey", "churn")
+    dirty.write.option("header", True).csv(path)
+    rows = tables.read_customers(spark, path, with_label=False, malformed="collect", row_ids=True)
+    _, rejects = fixed_model.scorer().score_lenient(rows)
+    return rejects.select("source_row_id", "customer_id", risk.join_texts(F.col("violations")).alias("violations"))
 
 
 @query
@@ -135,10 +164,34 @@ def duplicate_customer_ids(spark, sf_dir):
     return gates.duplicate_ids(_with_copies(spark, sf_dir))
 
 
+def _spoiled(spark, sf_dir) -> DataFrame:
+    """The dirty table with threefold copies, rows without an id, and a column of another type."""
+    dirty = customers_dirty(spark, sf_dir)
+    copies = dirty.filter(F.col("c_custkey") % 50 == 0)
+    table = dirty.unionByName(copies).unionByName(copies)
+    known = F.when(F.col("c_custkey") % 41 != 0, F.col("customer_id"))
+    return table.withColumns({"customer_id": known, "support_calls": F.col("support_calls").cast("bigint")}).drop("c_custkey", "c_nationkey")
+
+
 @query
 def data_gate_table(spark, sf_dir):
-    dirty = customers_dirty(spark, sf_dir).drop("c_custkey", "c_nationkey")
-    return rounded(gates.data_gates(dirty), "value")
+    return rounded(gates.data_gates(_spoiled(spark, sf_dir)), "value")
+
+
+@query
+def segments_of_unscored_rows(spark, sf_dir):
+    """Every seventh probability is missing: no segment and no label for it."""
+    rows = _labelled_scores(spark, sf_dir).withColumn("p", F.when(F.substring("customer_id", 6, 20).cast("bigint") % 7 > 0, F.col("churn_probability")))
+    return rows.select("customer_id", risk.risk_segment(F.col("p")).alias("risk_segment"), risk.churn_label(F.col("p")).alias("churn_label"))
+
+
+@query
+def metrics_with_a_null_group(spark, sf_dir):
+    """Metrics by contract, where one contract is not known."""
+    table = training_table(spark, sf_dir)
+    scored = fixed_model.scorer().probabilities(table).select("contract_type", "churn", F.round("churn_probability", 4).alias("p"))
+    rows = scored.withColumn("contract", F.when(F.col("contract_type") != "Two Year", F.col("contract_type")))
+    return evaluate.all_metrics(rows, "p", by=["contract"])
 
 
 # Features and encoding ----------------------------------------------------------------------------------------------
@@ -442,13 +495,15 @@ def appended_log(spark, sf_dir):
 
 @query
 def stream_scoring_log(spark, sf_dir):
-    """Customers written as files, scored as a stream, one log row per micro-batch."""
-    root = scratch(spark, "stream")
-    _unlabelled(spark, sf_dir).coalesce(1).write.parquet(f"{root}/in")
-    stream = scoring_stream.customer_stream(spark, f"{root}/in", "parquet")
-    scoring_stream.start_scoring(
-        fixed_model.scorer(), stream, f"{root}/out", f"{root}/state", available_now=True
-    ).awaitTermination()
+    """Two arrivals of files in two layouts, each scored as one micro-batch of a stream; one log row for each."""
+    root, table = scratch(spark, "stream"), customers_churn(spark, sf_dir)
+    names = _unlabelled(spark, sf_dir).columns
+    for half in (0, 1):
+        _write_mixed_headers(table.filter(F.col("c_nationkey") % 2 == half).select(*names), f"{root}/in/{half}")
+        stream = scoring_stream.customer_stream(spark, f"{root}/in/*/*")
+        scoring_stream.start_scoring(
+            fixed_model.scorer(), stream, "csv", f"{root}/out", f"{root}/state", available_now=True
+        ).awaitTermination()
     return scoring_stream.monitoring_log(spark, f"{root}/out").withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 

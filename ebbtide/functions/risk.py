@@ -39,11 +39,12 @@ def churn_label(probability: Column) -> Column:
 
 
 def risk_segment(probability: Column) -> Column:
+    """NULL for a NULL probability: a row that could not be scored must not look safe."""
     (top, at), *rest = SEGMENT_FLOORS
     segment = F.when(probability >= at, top)
     for name, floor in rest:
         segment = segment.when(probability >= floor, name)
-    return segment.otherwise(LOWEST_SEGMENT)
+    return segment.when(probability.isNotNull(), LOWEST_SEGMENT)
 
 
 def expected_revenue_loss(probability: Column, charges: Column | None = None) -> Column:

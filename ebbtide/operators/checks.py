@@ -28,17 +28,20 @@ def value_rule_offenders(df: DataFrame, rule: str, key: str = ID) -> DataFrame:
     return df.filter(broken()).select(key, column).orderBy(key).limit(OFFENDERS_SHOWN)
 
 
-def require_valid_values(df: DataFrame, key: str = ID) -> DataFrame:
-    """Fail with counts and first offenders if any row breaks a value rule."""
-    counts = value_rule_counts(df).first().asDict()
+def require_valid_values(df: DataFrame, key: str | None = ID, *more: Column) -> list:
+    """Fail with counts and first offenders if any row breaks a value rule; ``key`` None names no offenders.
+
+    ``more`` are aggregates taken in the same pass; their values are returned.
+    """
+    counted = df.agg(*[F.count_if(broken()).alias(rule) for rule, (_, broken) in VALUE_RULES.items()], *more).first()
     messages = []
-    for rule, count in counts.items():
+    for rule, count in zip(VALUE_RULES, counted, strict=False):
         if count:
-            shown = [row[key] for row in value_rule_offenders(df, rule, key).collect()]
-            messages.append(f"{rule}: {count} row(s), first {key}: {shown}")
+            shown = [row[key] for row in value_rule_offenders(df, rule, key).collect()] if key else []
+            messages.append(f"{rule}: {count} row(s)" + f", first {key}: {shown}" * bool(key))
     if messages:
         raise ValueRuleError("; ".join(messages))
-    return df
+    return list(counted[len(VALUE_RULES) :])
 
 
 def violations(malformed: str | None = None) -> Column:

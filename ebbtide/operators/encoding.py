@@ -19,8 +19,6 @@ from ebbtide.sources.schema import (
     SchemaError,
 )
 
-MAX_COMBINATIONS = 100_000
-
 
 def impute(df: DataFrame) -> DataFrame:
     """Optional columns always present and filled; an absent column is treated as a column of NULLs."""
@@ -97,19 +95,16 @@ def vocabulary_table(df: DataFrame, columns=tuple(CATEGORIES)) -> DataFrame:
 def fit_encoder(df: DataFrame) -> EncoderState:
     """Learn maxima and vocabularies from imputed training rows, in one pass.
 
-    The pass groups by the category columns, so what reaches the driver is one row per combination; a table with more
-    combinations than one-hot encoding can use is refused.
+    The pass groups by (column, category), so what reaches the driver is the sum of the columns' vocabularies, one row
+    per dummy column to come.
     """
     columns = [name for name in CATEGORIES if name in df.columns]
-    groups = df.groupBy(*columns).agg(
-        F.max("number_of_logins").alias("max_logins"), F.max("usage_hours").alias("max_usage")
-    )
-    rows = groups.limit(MAX_COMBINATIONS + 1).collect()
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).alias("category")) for c in columns] or [F.struct(F.lit("").alias("name"), F.lit("").alias("category"))]
+    found = df.select(F.explode(F.array(*pairs)).alias("pair"), "number_of_logins", "usage_hours").groupBy("pair.name", "pair.category")
+    rows = found.agg(F.max("number_of_logins").alias("max_logins"), F.max("usage_hours").alias("max_usage")).collect()
     if not rows:
         raise SchemaError("no rows to fit the encoder on")
-    if len(rows) > MAX_COMBINATIONS:
-        raise SchemaError(f"columns {columns} have more than {MAX_COMBINATIONS} combinations of categories")
-    vocabulary = {name: sorted({row[name] for row in rows if row[name] is not None}) for name in columns}
+    vocabulary = {name: sorted(r["category"] for r in rows if r["name"] == name and r["category"] is not None) for name in columns}
     return EncoderState(
         max(1.0, *[row["max_logins"] for row in rows]), max(1.0, *[row["max_usage"] for row in rows]), vocabulary
     )
@@ -169,7 +164,8 @@ def drop_identifiers(df: DataFrame, columns=(ID,)) -> DataFrame:
 
 
 def features_and_label(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
-    """The modelling columns and the label as a whole number."""
+    """The modelling columns and the label as a whole number; a row without a label fails the job."""
     if label not in df.columns:
         raise SchemaError(f"label column {label} is missing; columns: {df.columns}")
-    return df.select(*[F.col(f"`{name}`") for name in features], F.col(label).cast("int").alias(label))
+    known = F.coalesce(F.col(label), F.raise_error(F.lit(f"{label} is NULL")).cast(df.schema[label].dataType))
+    return df.select(*[F.col(f"`{name}`") for name in features], known.cast("int").alias(label))

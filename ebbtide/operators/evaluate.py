@@ -1,8 +1,8 @@
 """Classifier metrics as aggregations: confusion counts, ROC-AUC, average precision, profit by threshold, fold summary.
 
 Ranking metrics first reduce the rows to one row per distinct score, so ties and hot scores are handled before any
-ordering, and write that table once. The ordering then runs inside score buckets of bounded size; what lies above a
-bucket comes from a table with one row per bucket. No window ever spans an unbounded table.
+ordering, and write that table once. The ordering then runs inside score buckets of about BUCKET_ROWS distinct scores,
+as many as that takes; what lies above a bucket comes from a table with one row per bucket. A NULL group is a group.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from ebbtide.session import cut_lineage
 from ebbtide.sources.schema import LABEL
 
 BUCKET_ROWS = 100_000
-MAX_BUCKETS = 4096
 DIGITS = 4
 
 
@@ -60,12 +59,19 @@ def score_groups(df: DataFrame, score: str, label: str = LABEL, by: list[str] =
     )
 
 
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL; the keys of the left side stay."""
+    renamed = right.withColumnsRenamed({name: f"_{name}" for name in keys})
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in keys]
+    return left.join(renamed, same).drop(*[f"_{name}" for name in keys])
+
+
 def cumulative_counts(groups: DataFrame, by: list[str] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Score groups with the positives and negatives that score strictly higher, and the totals.
 
     Reads ``groups`` several times: pass a written table.
     """
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(groups.count() / bucket_rows)))
+    buckets = max(1, math.ceil(groups.count() / bucket_rows))
     edges = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
@@ -92,7 +98,7 @@ def cumulative_counts(groups: DataFrame, by: list[str] = (), bucket_rows: int =
             "n_inside": F.coalesce(F.sum("neg").over(inside), F.lit(0)),
         }
     )
-    return ranked.join(offsets, keys).select(
+    return _same_keys(ranked, offsets, keys).select(
         *by, "score", "pos", "neg", "total_pos", "total_neg",
         (F.col("p_before") + F.col("p_inside")).alias("pos_above"),
         (F.col("n_before") + F.col("n_inside")).alias("neg_above"),
@@ -140,7 +146,7 @@ def all_metrics(df: DataFrame, score: str, label: str = LABEL, by: list[str] = (
         F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~above, F.col("pos")).otherwise(0)).alias("fn"),
     )
-    joined = _ranking(groups, keys, BUCKET_ROWS).join(_at_threshold(counts, keys), keys)
+    joined = _same_keys(_ranking(groups, keys, BUCKET_ROWS), _at_threshold(counts, keys), keys)
     names = ["roc_auc", "pr_auc", "precision", "recall", "f1"]
     return joined.select(*by, *[F.bround(name, DIGITS).alias(name) for name in names])
 

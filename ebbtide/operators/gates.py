@@ -26,7 +26,8 @@ def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def duplicate_ids(df: DataFrame, key: str = ID) -> DataFrame:
-    return df.groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
+    """Ids that occur more than once, with their rows. Rows without an id are counted by the NULL rule, not here."""
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
 def label_rate(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.risk import ALERT_HIGH_RISK_PCT, ALERT_MEAN_PROBABILITY_PCT
 from ebbtide.functions.rounding import round_even, round_exact
-from ebbtide.operators.reports import high_risk
+from ebbtide.operators.reports import high_risk, sum_of_cents
 
 # Headings of the history table.
 HISTORY_HEADINGS = {
@@ -27,7 +27,7 @@ def batch_log(scored: DataFrame, batch: str = "batch_id") -> DataFrame:
         F.count("*").alias("total"),
         round_even(F.avg(probability) * F.lit(100.0), 2).alias("avg_prob"),
         round_even(share * F.lit(100.0), 2).alias("high_risk_pct"),
-        round_even(F.sum("expected_revenue_loss"), 2).alias("total_loss"),
+        sum_of_cents("expected_revenue_loss").alias("total_loss"),
     )
 
 

@@ -80,13 +80,18 @@ def segment_distribution(scored: DataFrame) -> DataFrame:
     )
 
 
+def sum_of_cents(column: str) -> Column:
+    """Sum of amounts in whole cents: the same whatever the order of summation."""
+    return F.sum(F.round(F.col(column) * F.lit(100.0)).cast("decimal(38,0)")).cast("double") / F.lit(100.0)
+
+
 def batch_summary(scored: DataFrame) -> DataFrame:
     """One row: rows scored, predicted churners, high and critical rows, sum of the rounded losses."""
     return scored.agg(
         F.count("*").alias("total"),
         F.coalesce(F.sum("churn_label"), F.lit(0)).alias("predicted_churn"),
         F.count_if(high_risk()).alias("high_risk_count"),
-        F.bround(F.sum("expected_revenue_loss"), 2).alias("total_expected_loss"),
+        sum_of_cents("expected_revenue_loss").alias("total_expected_loss"),
     )
 
 

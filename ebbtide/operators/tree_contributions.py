@@ -5,7 +5,7 @@ A leaf adds ``value * prod_j g_j`` to the prediction, where ``g_j`` is 1 or 0 fo
 Shapley average over the orders in which features become known is the integral over t in [0, 1] of the product with
 ``g_j = z_j (1 - t) + o_j t``; a Gauss-Legendre rule with half as many points as features gives it exactly.
 
-The node table of the fitted model is bounded by its own parameters (trees times 2^depth) and checked before it is sent
+The node table of the fitted model is bounded by its own parameters (trees times 2^depth), not by the data; it is sent
 to the tasks; rows are scored where they are, in Arrow batches.
 """
 
@@ -19,12 +19,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ebbtide.operators.classifiers import FittedClassifier
 from ebbtide.session import shared_dir
 
-MAX_NODES = 2_000_000
 ROWS_AT_ONCE = 64
 CELLS_AT_ONCE = 1 << 20
 
@@ -70,9 +68,6 @@ def _paths(tree: dict, node: int, path: dict, value_of, cover_of):
 
 def read_ensemble(spark: SparkSession, saved: str, width: int, boosting: bool) -> Ensemble:
     nodes = node_table(spark, saved)
-    n = nodes.count()
-    if n > MAX_NODES:
-        raise ValueError(f"{n} tree nodes exceed the limit of {MAX_NODES} that is sent to tasks")
     trees = defaultdict(dict)
     for row in nodes.collect():
         trees[row["treeID"]][row["id"]] = row
@@ -133,18 +128,20 @@ def ensemble_of(spark: SparkSession, fitted: FittedClassifier) -> Ensemble:
 
 
 def with_tree_contributions(df: DataFrame, fitted: FittedClassifier, output: str = "contributions") -> DataFrame:
-    """Adds an array with one contribution per feature; they sum to the margin minus the base value."""
-    spark = df.sparkSession
+    """Adds an array with one contribution per feature; they sum to the margin minus the base value.
+
+    Only the features reach Python. The ensemble, a driver object already, is sent to the tasks; its size follows its
+    parameters (trees and depth), not the data.
+    """
     features = fitted.features
-    held = spark.sparkContext.broadcast(ensemble_of(spark, fitted).groups)
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
+    held = df.sparkSession.sparkContext.broadcast(ensemble_of(df.sparkSession, fitted).groups)
 
-    def explain(batches):
-        for batch in batches:
-            x = batch[features].to_numpy(dtype=float)
-            yield batch.assign(**{output: list(contributions(held.value, len(features), x))})
+    @F.pandas_udf("array<double>")
+    def explain(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        return pd.Series(list(contributions(held.value, len(features), x)))
 
-    return df.mapInPandas(explain, schema)
+    return df.withColumn(output, explain(*[F.col(f"`{name}`").cast("double") for name in features]))
 
 
 def base_value(spark: SparkSession, fitted: FittedClassifier) -> float:

@@ -17,9 +17,12 @@ def class_weight_table(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def class_weight_column(df: DataFrame, label: str = LABEL) -> tuple[Column, float]:
-    """The weight as a column of literals, and the sum of the weights (the row count)."""
+    """The weight of a binary label as a column of literals, and the sum of the weights (the row count)."""
     weight, total = F.lit(None).cast("double"), 0.0
-    for row in class_weight_table(df, label).collect():
+    classes = class_weight_table(df, label).limit(3).collect()
+    if len(classes) > 2 or any(row[label] is None for row in classes):
+        raise ValueError(f"{label} must be binary and not NULL")
+    for row in classes:
         weight = F.when(F.col(label) == row[label], F.lit(row["weight"])).otherwise(weight)
         total += row["weight"] * row["rows"]
     return weight, total

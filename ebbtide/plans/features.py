@@ -11,24 +11,24 @@ from ebbtide.operators.checks import require_valid_values
 from ebbtide.operators.encoding import EncoderState, align, encode, engineered, fit_encoder, impute, usage_maxima
 from ebbtide.operators.selection import stratified_split
 from ebbtide.sources.schema import ID, LABEL
-from ebbtide.sources.tables import nan_to_null, normalise_headers, require_columns, with_row_numbers
+from ebbtide.sources.tables import nan_to_null, normalise_headers, require_columns
 
 
 def engineer_features(df: DataFrame, maxima: tuple[float, float] | None = None, check: bool = True) -> DataFrame:
     """Headers, required columns, value rules, imputation and the five derived columns.
 
-    Without ``maxima`` the engagement score is relative to the largest logins and usage of this very table; the
-    two numbers arrive through a scalar subquery, so the table itself is not joined or shuffled.
+    Without ``maxima`` the engagement score is relative to the largest logins and usage of this very table. The check and
+    the maxima come from one aggregate; without the check the maxima arrive through a scalar subquery.
     """
-    df = nan_to_null(require_columns(normalise_headers(df)))
-    if check and ID in df.columns:
-        require_valid_values(df)
-    elif check:
-        require_valid_values(with_row_numbers(df), "source_row_id")
-    df = impute(df)
-    if maxima is None:
-        found = usage_maxima(df).select(F.struct("max_logins", "max_usage")).scalar()
-        maxima = (found["max_logins"], found["max_usage"])
+    df = impute(nan_to_null(require_columns(normalise_headers(df))))
+    if check:
+        key = next((name for name in (ID, "source_row_id") if name in df.columns), None)
+        largest = [F.greatest(F.max(name), F.lit(1.0)) for name in ("number_of_logins", "usage_hours")]
+        found = require_valid_values(df, key, *(largest if maxima is None else ()))
+        maxima = maxima or tuple(1.0 if value is None else value for value in found)
+    elif maxima is None:
+        largest = usage_maxima(df).select(F.struct("max_logins", "max_usage")).scalar()
+        maxima = (largest["max_logins"], largest["max_usage"])
     return engineered(df, *maxima)
 
 

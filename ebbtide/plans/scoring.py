@@ -19,6 +19,7 @@ from ebbtide.operators.classifiers import FittedClassifier, load_classifier, sav
 from ebbtide.operators.encoding import EncoderState, engineered, impute
 from ebbtide.operators.tree_contributions import with_tree_contributions
 from ebbtide.sources.schema import ID, SchemaError
+from ebbtide.sources.tables import fill_ids
 
 SCORED_COLUMNS = (
     "churn_probability", "churn_label", "risk_segment", "expected_revenue_loss", "retention_strategy", "top_reasons",
@@ -75,8 +76,7 @@ class ChurnScorer:
         if "engagement_score" in df.columns:
             supplied = "supplied_engagement"
             df = df.withColumn(supplied, F.col("engagement_score").cast("double"))
-        known = F.nullif(F.col(ID), F.lit("")) if ID in df.columns else F.lit(None).cast("string")
-        df = df.withColumn(ID, known)
+        df = fill_ids(df)
         if reasons not in ("rules", "contributions"):
             raise ValueError(f"reasons must be rules or contributions, not {reasons!r}")
         rows = self.probabilities(df)
@@ -91,7 +91,10 @@ class ChurnScorer:
     def score_lenient(
         self, df: DataFrame, reasons: str = "rules", keep: tuple[str, ...] = (ID,)
     ) -> tuple[DataFrame, DataFrame]:
-        """Scored good rows, and rejected rows with their violation codes."""
+        """Scored good rows, and rejected rows with their violation codes and, if the reader gave it, ``source_row_id``.
+
+        Where an id is missing, the row's position takes its place.
+        """
         good, rejects = split_rejects(df)
         return self.score(good, reasons, keep), rejects
 

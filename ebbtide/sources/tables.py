@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import defaultdict
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,19 +97,45 @@ def conform(df: DataFrame, with_label: bool = True, malformed: str = "error") ->
 
 def read_customers(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     fmt: str = "csv",
     with_label: bool = True,
     malformed: str = "error",
+    row_ids: bool = False,
 ) -> DataFrame:
     """Labelled (training) or unlabelled (scoring) customers from CSV, Parquet, ORC or JSON.
 
-    CSV columns are matched by header, never by position, and nothing is inferred from the data.
+    CSV columns are matched by header, file by file: files whose headers differ in order or spelling, or lack an optional
+    column, go together by name. Nothing is inferred from the data. ``path`` may be a list of files. With ``row_ids`` each
+    row carries its position in the files as ``source_row_id``, which scoring uses where an id is missing.
     """
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    if fmt == "json":
-        reader = reader.schema(customer_schema(with_label))
-    return conform(reader.format(fmt).load(path), with_label, malformed)
+    if fmt == "csv":
+        frames = [normalise_headers(_marked(frame) if row_ids else frame) for frame in _by_header(spark, path)]
+        found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        for frame in frames:
+            require_columns(frame, (*REQUIRED, LABEL) if with_label else REQUIRED)
+        return conform(_numbered(found, "source_row_id") if row_ids else found, with_label, malformed)
+    reader = spark.read.schema(customer_schema(with_label)) if fmt == "json" else spark.read
+    found = reader.format(fmt).load(path)
+    return conform(with_row_numbers(found) if row_ids else found, with_label, malformed)
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """One frame of text columns per distinct header line of the files; one row per file reaches the driver."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"), "value")
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    files = defaultdict(list)
+    for row in first.collect():
+        files[row["header"].removesuffix("\r").removeprefix("\ufeff")].append(unquote(row["file_path"]))
+    if not files:
+        raise SchemaError(f"no header found in {path}")
+    frames = []
+    for header, group in sorted(files.items()):
+        names = next(csv.reader([header]))
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        whole = path if len(files) == 1 else sorted(group)
+        frames.append(spark.read.option("header", True).schema(schema).csv(whole))
+    return frames
 
 
 def customers_from_records(spark: SparkSession, records: list[dict], with_label: bool = False) -> DataFrame:
@@ -120,28 +151,34 @@ def customers_from_records(spark: SparkSession, records: list[dict], with_label:
     return nan_to_null(spark.createDataFrame(rows, schema))
 
 
-def with_row_numbers(df: DataFrame, name: str = "source_row_id") -> DataFrame:
-    """Zero-based position of each row of a file scan, without a global window.
+def _marked(scan: DataFrame) -> DataFrame:
+    """A file scan with the file, the block and a mark that grows inside the block."""
+    try:
+        return scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_mark"))
+    except AnalysisException as error:
+        raise SchemaError("rows can only be numbered in a plain file scan") from error
+
+
+def _numbered(marked: DataFrame, name: str) -> DataFrame:
+    """Zero-based positions in the order of (file, block, place in the block).
 
-    One narrow pass counts rows per scan partition. The counts (one row per partition) become an offset that is
-    joined back; the position inside the partition is the low half of ``monotonically_increasing_id``.
+    One narrow pass counts the rows of each block; a running sum over that table, which has one row per block, is joined
+    back. Spark reads a block's rows in order and in one task, so the marks of a block are consecutive.
     """
-    counts = df.groupBy(F.spark_partition_id().alias("part")).count().collect()
-    offsets, total = {}, 0
-    for part, count in sorted((row["part"], row["count"]) for row in counts):
-        offsets[part] = total
-        total += count
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    table = df.sparkSession.createDataFrame(sorted(offsets.items()), "part int, offset bigint")
-    marked = df.withColumn("part", F.spark_partition_id()).withColumn("mark", F.monotonically_increasing_id())
-    return (
-        marked.join(F.broadcast(table), "part")
-        .withColumn(name, F.col("offset") + F.col("mark").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("part", "offset", "mark")
-    )
+    blocks = marked.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_mark").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    placed = marked.join(starts, ["_file", "_block"])
+    return placed.withColumn(name, F.col("_before") + F.col("_mark") - F.col("_first")).drop("_file", "_block", "_mark", "_first", "_before")
+
+
+def with_row_numbers(df: DataFrame, name: str = "source_row_id") -> DataFrame:
+    """Zero-based position of each row of a file scan, in the order of file name and place; other inputs are refused."""
+    return _numbered(_marked(df), name)
 
 
 def fill_ids(df: DataFrame, row_id: str = "source_row_id") -> DataFrame:
-    """An empty or missing customer id becomes the row number, as text."""
+    """An empty or missing customer id becomes the row number, as text; without row numbers it becomes NULL."""
+    if row_id not in df.columns or ID not in df.columns:
+        return df.withColumn(ID, F.nullif(F.col(ID), F.lit("")) if ID in df.columns else F.lit(None).cast("string"))
     return df.withColumn(ID, F.coalesce(F.nullif(F.col(ID), F.lit("")), F.col(row_id).cast("string")))

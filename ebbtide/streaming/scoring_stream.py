@@ -1,7 +1,9 @@
 """Score files as they arrive.
 
-Scoring is stateless, so each micro-batch runs the batch plan. A micro-batch writes its scored rows, its rejects and one
-monitoring row into directories named by batch id: a batch that is run again after a failure overwrites itself.
+Scoring is stateless, so each micro-batch runs the batch plan. The stream itself carries the names of new files; a
+micro-batch reads them with the batch reader, so headers, missing columns and malformed cells are treated alike. It
+writes its scored rows, its rejects and one monitoring row into directories named by batch id: a batch that is run again
+after a failure overwrites itself.
 """
 
 from __future__ import annotations
@@ -10,38 +12,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ebbtide.operators.checks import with_violations
 from ebbtide.operators.monitoring import batch_log, with_alerts
 from ebbtide.plans.scoring import ChurnScorer
-from ebbtide.sources.schema import customer_schema
-from ebbtide.sources.tables import nan_to_null
+from ebbtide.session import cut_lineage
+from ebbtide.sources.tables import read_customers
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
-def customer_stream(spark: SparkSession, path: str, fmt: str = "csv", files_per_batch: int | None = None) -> DataFrame:
-    """Unlabelled customers from a directory; a CSV header must match the declared schema."""
-    reader = spark.readStream.schema(customer_schema(with_label=False)).format(fmt)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("enforceSchema", False)
+
+def customer_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Names of the files that arrive in a directory; their content is not read here."""
+    reader = spark.readStream.schema(FILES).format("binaryFile")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return nan_to_null(reader.load(path))
+    return reader.load(path).select("path")
+
+
+def write_files(scorer: ChurnScorer, files: DataFrame, fmt: str, batch_id: int, out: str, reasons: str = "rules") -> None:
+    """One batch of files (column ``path``); their number is bounded by the stream's files_per_batch."""
+    paths = sorted(row["path"] for row in files.distinct().collect())
+    if paths:
+        rows = read_customers(files.sparkSession, paths, fmt, with_label=False, malformed="collect")
+        write_batch(scorer, rows, batch_id, out, reasons)
 
 
 def write_batch(scorer: ChurnScorer, rows: DataFrame, batch_id: int, out: str, reasons: str = "rules") -> None:
-    """One batch: rejects and scored rows first, then the log entry from the scored files just written."""
+    """One batch: the rows are read and checked once; then rejects, scored rows, and the log entry from the latter."""
     spark = rows.sparkSession
-    scored, rejects = scorer.score_lenient(rows, reasons)
+    checked = cut_lineage(with_violations(rows))
+    scored = scorer.score(checked.filter(F.size("violations") == 0).drop("violations"), reasons)
     scored.write.mode("overwrite").parquet(f"{out}/scored/batch_id={batch_id}")
-    rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+    checked.filter(F.size("violations") > 0).write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
     written = spark.read.schema(scored.schema).parquet(f"{out}/scored/batch_id={batch_id}")
     entry = with_alerts(batch_log(written.withColumn("batch_id", F.lit(batch_id).cast("bigint"))))
     entry.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(f"{out}/log/batch_id={batch_id}")
 
 
 def start_scoring(
-    scorer: ChurnScorer, stream: DataFrame, out: str, checkpoint: str, available_now: bool = False, reasons: str = "rules"
+    scorer: ChurnScorer, stream: DataFrame, fmt: str, out: str, checkpoint: str, available_now: bool = False, reasons: str = "rules"
 ) -> StreamingQuery:
+    """Score the files of ``customer_stream`` in the given format."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda rows, batch_id: write_batch(scorer, rows, batch_id, out, reasons)
+        lambda files, batch_id: write_files(scorer, files, fmt, batch_id, out, reasons)
     )
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 

@@ -67,6 +67,7 @@ def test_roundings(spark):
     ],
 )
 def test_segments(spark, p, segment, label):
+    assert value(spark, risk.risk_segment(F.lit(None).cast("double"))) is None
     assert value(spark, risk.risk_segment(F.lit(p))) == segment
     assert value(spark, risk.churn_label(F.lit(p))) == label
 
@@ -103,14 +104,14 @@ def test_rule_edges(spark):
 
 def test_all_rules_and_first_three_reasons(spark):
     row = decide(
-        spark, tenure=6, monthly_charges=950.0, support_calls=7, contract_type="Month-to-Month",
+        spark, tenure=4, monthly_charges=980.0, support_calls=8, contract_type="Month-to-Month",
         number_of_logins=None, usage_hours=None,
     )
     assert len(row["retention_strategy"]) == 4
     assert row["top_reasons"] == [
-        "Short account tenure (6 months) increases churn risk significantly",
-        "High monthly charges ($950) increase churn risk moderately",
-        "High support call volume (7 calls) indicates service friction",
+        "Short account tenure (4 months) increases churn risk significantly",
+        "High monthly charges ($980) increase churn risk moderately",
+        "High support call volume (8 calls) indicates service friction",
     ]
     low = decide(spark, number_of_logins=None, usage_hours=None)
     assert low["top_reasons"] == ["Low engagement score (0.18) suggests reduced product attachment"]

@@ -79,7 +79,7 @@ def test_median_of_nothing(spark):
 def test_many_bins_are_narrowed_exactly(spark):
     df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).alias("v"), F.lit("g").alias("g"))
     ranks = [0, 1, 24_999, 49_999]
-    found = S.order_statistics(df, S.value_ranges(df), {"g": ranks})
+    found = S.order_statistics(df, S.summaries(df), {"g": ranks})
     assert [found[("g", r)] for r in ranks] == ranks
 
 
@@ -89,6 +89,41 @@ def test_too_many_classes(spark):
         S.stratified_split(df)
 
 
+def test_missing_labels_are_refused(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0), ("c", None)], "customer_id string, churn int")
+    for dealt in (S.stratified_split, S.stratified_folds):
+        with pytest.raises(ValueError, match="NULL"):
+            dealt(df)
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [float("nan"), 1.0, 2.0, float("inf"), 3.0],
+        [float("-inf")] * 3 + [float("inf")] * 4,
+        [-1.7e308, 1.7e308, 0.0, 1.0, 5.0],
+        [10.0**k for k in range(-100, 100)],
+        [1.0] * 500 + [2.0] * 500,
+    ],
+)
+def test_medians_take_few_passes_whatever_the_values(spark, values, monkeypatch):
+    passes = []
+    for name in ("summaries", "_counts", "_inside"):
+        monkeypatch.setattr(S, name, lambda rows, *rest, f=getattr(S, name): passes.append(1) or f(rows, *rest))
+    got = S.exact_medians(spark.createDataFrame([(v,) for v in values], "a double"), ["a"])["a"]
+    real = sorted(v for v in values if v == v)
+    want = (real[(len(real) - 1) // 2], real[len(real) // 2])
+    assert got == (want[0] if len(real) % 2 else (want[0] + want[1]) / 2) and len(passes) <= 3
+
+
+def test_search_goes_on_where_the_bracket_is_large(spark, monkeypatch):
+    monkeypatch.setattr(S, "FINISH_VALUES", 50)
+    df = spark.range(40_000).select((F.col("id") * 7919 % 40_000).cast("double").alias("v"), F.lit("g").alias("g"))
+    ranks = [0, 17, 20_000, 39_998]
+    found = S.order_statistics(df, S.summaries(df), {"g": ranks})
+    assert [found[("g", r)] for r in ranks] == ranks
+
+
 def test_sample(people):
     drawn = S.hashed_sample(people, 100)
     assert drawn.count() == 100 and drawn.select("customer_id").distinct().count() == 100

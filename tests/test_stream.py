@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from checks import fixed_model
 from ebbtide.operators import monitoring
+from ebbtide.sources import tables
 from ebbtide.sources.derived import customers_dirty
 from ebbtide.sources.schema import customer_schema
 from ebbtide.streaming import scoring_stream as stream
@@ -25,8 +26,8 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path, fmt):
     source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
     write_files(dirty, source, fmt)
     for _ in range(2):
-        arriving = stream.customer_stream(spark, source, fmt, files_per_batch=1)
-        stream.start_scoring(scorer, arriving, out, state, available_now=True).awaitTermination()
+        arriving = stream.customer_stream(spark, source, files_per_batch=1)
+        stream.start_scoring(scorer, arriving, fmt, out, state, available_now=True).awaitTermination()
     scored, rejects = scorer.score_lenient(dirty.select(*NAMES))
     written = spark.read.parquet(f"{out}/scored").drop("batch_id")
     assert written.count() == scored.count() and written.exceptAll(scored).count() == 0
@@ -49,3 +50,23 @@ def test_batch_without_a_good_row(spark, sf_dir, tmp_path):
     stream.write_batch(fixed_model.scorer(), rows, 1, out)
     assert spark.read.parquet(f"{out}/rejects").count() == rows.count()
     assert stream.monitoring_log(spark, out).count() == 0
+
+
+def test_stream_reads_headers_and_malformed_cells_like_a_batch(spark, tmp_path):
+    """Other column order, no total charges, cells that are no numbers, NULL tokens: the batch path and the stream agree."""
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(
+        "customer_id,tenure,monthly_charges,support_calls,contract_type,internet_service,payment_method,number_of_logins\n"
+        "K-1,7,620.5,1,One Year,DSL,Mailed Check,12\nK-2,7,620.5,1,One Year,DSL,Mailed Check,xyz\nK-3,7,abc,1,One Year,DSL,Mailed Check,N/A\n"
+    )
+    (tmp_path / "in" / "b.csv").write_text(
+        "Monthly Charges,Tenure,support_calls,contract_type,internet_service,payment_method,customer_id\n410.0,24,12.0,Two Year,No,Credit Card,K-4\n"
+    )
+    scorer = fixed_model.scorer()
+    scored, rejects = scorer.score_lenient(tables.read_customers(spark, source, with_label=False, malformed="collect"))
+    stream.start_scoring(scorer, stream.customer_stream(spark, source), "csv", out, state, available_now=True).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(f"{out}/scored").drop("batch_id").collect())) == sorted(map(str, scored.collect()))
+    told = {r["customer_id"]: r["violations"] for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert told == {r["customer_id"]: r["violations"] for r in rejects.collect()} and set(told) == {"K-2", "K-3"}
+    assert {r["customer_id"] for r in scored.collect()} == {"K-1", "K-4"}

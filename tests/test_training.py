@@ -226,11 +226,11 @@ def test_scores_do_not_depend_on_the_batch(spark, sf_dir):
 
 
 def test_single_record(spark):
-    record = {"customer_id": "", "tenure": 6, "monthly_charges": 950.0, "support_calls": 7, "contract_type": "Month-to-Month",
+    record = {"customer_id": "", "tenure": 4, "monthly_charges": 980.0, "support_calls": 8, "contract_type": "Month-to-Month",
               "internet_service": "Fiber Optic", "payment_method": "Electronic Check"}
     row = fixed_model.scorer().score_strict(customers_from_records(spark, [record])).first()
     assert row["customer_id"] is None and row["churn_label"] == 1 and row["risk_segment"] == "Critical"
-    assert row["expected_revenue_loss"] == round(row["churn_probability"] * 950.0 * 6, 2)
+    assert row["expected_revenue_loss"] == round(row["churn_probability"] * 980.0 * 6, 2)
     assert len(row["retention_strategy"]) == 4 and len(row["top_reasons"]) == 3
     with pytest.raises(ValueError, match="reasons"):
         fixed_model.scorer().score(customers_from_records(spark, [record]), reasons="magic")
