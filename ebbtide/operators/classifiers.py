@@ -109,7 +109,7 @@ def _estimator(variant: Variant, weight_total: float):
         # The penalty is per unit of weight here, and per row set in the usual C notation.
         return LogisticRegression(
             elasticNetParam=0.0, regParam=1.0 / (p["C"] * weight_total), standardization=False,
-            maxIter=p["max_iter"], **columns,
+            maxIter=p["max_iter"], tol=1e-10, **columns,
         )
     if variant.model == "random_forest":
         return RandomForestClassifier(

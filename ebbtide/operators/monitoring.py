@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ebbtide.operators.reports import high_risk, sum_of_cents
 # Headings of the history table.
 HISTORY_HEADINGS = {
     "batch_id": "Batch",
+    "batch_time": "Time",
     "total": "Customers",
     "avg_prob": "Avg Prob (%)",
     "high_risk_pct": "High-Risk (%)",
@@ -19,11 +22,15 @@ HISTORY_HEADINGS = {
 }
 
 
-def batch_log(scored: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Rows, mean probability, high-risk share and loss per batch; probabilities enter with 4 digits."""
+def batch_log(scored: DataFrame, batch: str = "batch_id", time: datetime | None = None) -> DataFrame:
+    """Rows, mean probability, high-risk share and loss per batch; probabilities enter with 4 digits.
+
+    ``time`` is the time of the batch, the same for all of its rows; it becomes the column ``batch_time``.
+    """
     probability = round_exact(F.col("churn_probability"), 4)
     share = F.try_divide(F.count_if(high_risk()).cast("double"), F.count("*").cast("double"))
-    return scored.groupBy(batch).agg(
+    stamp = [] if time is None else [F.lit(time).cast("timestamp").alias("batch_time")]
+    return scored.groupBy(batch, *stamp).agg(
         F.count("*").alias("total"),
         round_even(F.avg(probability) * F.lit(100.0), 2).alias("avg_prob"),
         round_even(share * F.lit(100.0), 2).alias("high_risk_pct"),
@@ -59,7 +66,9 @@ def latest(log: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 
 def history(log: DataFrame, batch: str = "batch_id") -> DataFrame:
-    return log.orderBy(F.desc(batch)).select(*[F.col(n if n != "batch_id" else batch).alias(h) for n, h in HISTORY_HEADINGS.items()])
+    """The log with report headings, latest batch first; the time is shown where the log has one."""
+    names = {batch if n == "batch_id" else n: h for n, h in HISTORY_HEADINGS.items()}
+    return log.orderBy(F.desc(batch)).select(*[F.col(n).alias(h) for n, h in names.items() if n in log.columns])
 
 
 def append_log(entries: DataFrame, path: str) -> None:

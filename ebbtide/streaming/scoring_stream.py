@@ -8,6 +8,8 @@ after a failure overwrites itself.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -45,7 +47,8 @@ def write_batch(scorer: ChurnScorer, rows: DataFrame, batch_id: int, out: str, r
     scored.write.mode("overwrite").parquet(f"{out}/scored/batch_id={batch_id}")
     checked.filter(F.size("violations") > 0).write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
     written = spark.read.schema(scored.schema).parquet(f"{out}/scored/batch_id={batch_id}")
-    entry = with_alerts(batch_log(written.withColumn("batch_id", F.lit(batch_id).cast("bigint"))))
+    numbered = written.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    entry = with_alerts(batch_log(numbered, time=datetime.now(timezone.utc)))
     entry.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(f"{out}/log/batch_id={batch_id}")
 
 

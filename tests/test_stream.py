@@ -34,6 +34,7 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path, fmt):
     assert spark.read.parquet(f"{out}/rejects").count() == rejects.count() > 0
     log = stream.monitoring_log(spark, out)
     assert log.count() == 3 and log.agg(F.sum("total")).first()[0] == scored.count()
+    assert log.filter("batch_time IS NULL").count() == 0 and "Time" in monitoring.history(log).columns
     assert monitoring.latest(log).first()["batch_id"] == 2 and monitoring.trend(log).count() == 3
 
 
