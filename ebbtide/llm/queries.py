@@ -107,4 +107,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_attention": op10_quality_attention,
 }
 
-SQL: dict[str, str] = {}
+#: What SQL can express; the others learn from the data or encode bytes, and are held against brute force in tests/llm.
+SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingles FROM words),
+sizes AS (SELECT doc_id, len(shingles) AS n FROM sets),
+single AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM single x JOIN single y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS place FROM sizes UNION SELECT reach.id, edges.b FROM reach JOIN edges ON reach.place = edges.a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT id AS doc_id, min(place) AS component_id FROM reach GROUP BY id) USING (doc_id)
+""",
+}
