@@ -2,7 +2,7 @@
 
 Examples are a bounded sample of the labelled rows: of each class the `per_class` rows with the smallest hash. Terms are
 lower-cased runs of letters. The vocabulary holds the (at most `max_terms`) terms that occur in toxic examples
-significantly more often than in the others (chi-squared), weighted by the inverse document frequency over all documents.
+significantly (chi-squared) and at least LIFT times as often as in the others, weighted by the inverse document frequency over all documents.
 Whatever the corpus, examples, vocabulary and index have that bound, which is what makes them fit for a broadcast.
 
 Search. Examples are stored in blocks of 64; a term's list holds its postings and, per block, the largest weight. A text
@@ -35,6 +35,8 @@ PER_CLASS = 4096
 MAX_TERMS = 2048
 #: Chi-squared with one degree of freedom at one in a thousand; least examples with the term.
 SIGNIFICANT, LEAST_EXAMPLES = 10.83, 5
+#: Least ratio of a term's rates in toxic and other examples; words that only tell the language stay below.
+LIFT = 3.0
 NEAREST = 15
 BLOCK = 64
 
@@ -63,7 +65,6 @@ class Index:
         self.maxima = np.zeros((len(vocabulary), self.blocks))
         for term, (examples, values) in enumerate(zip(self.examples, self.values, strict=True)):
             np.maximum.at(self.maxima[term], examples // BLOCK, values)
-        self.edges = [np.searchsorted(e, np.arange(self.blocks + 1) * BLOCK) for e in self.examples]
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights (1 + log tf) * idf, scaled to length 1."""
@@ -75,22 +76,27 @@ class Index:
         """The k examples with the largest positive cosine and the cosines, largest first; `without` is left out."""
         terms, values = self.vector(counts)
         bounds = values @ self.maxima[terms] if len(terms) else np.zeros(self.blocks)
-        found, cosines = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable").tolist():
+        order = np.argsort(-bounds, kind="stable")
+        order = order[: int((bounds > 0).sum())]
+        found, cosines, at, width = np.empty(0, np.int64), np.empty(0), 0, 2
+        while at < len(order):
             # A margin for rounding: a bound is a sum in another order than the cosine it bounds.
-            if bounds[block] <= 0 or (len(found) == k and cosines[-1] > bounds[block] + 1e-9):
+            if len(found) == k and cosines[-1] > bounds[order[at]] + 1e-9:
                 break
-            scores = np.zeros(BLOCK)
+            alive = np.zeros(self.blocks, bool)
+            alive[order[at : at + width]] = True
+            scores = np.zeros(self.blocks * BLOCK)
             for term, value in zip(terms.tolist(), values.tolist(), strict=True):
-                low, high = self.edges[term][block], self.edges[term][block + 1]
-                if low < high:
-                    scores[self.examples[term][low:high] - block * BLOCK] += value * self.values[term][low:high]
-            if 0 <= without - block * BLOCK < BLOCK:
-                scores[without - block * BLOCK] = 0
-            places = np.flatnonzero(scores > 0)
-            found, cosines = np.concatenate([found, places + block * BLOCK]), np.concatenate([cosines, scores[places]])
+                examples = self.examples[term]
+                inside = alive[examples // BLOCK]
+                scores[examples[inside]] += value * self.values[term][inside]
+            if without >= 0:
+                scores[without] = 0
+            places = np.flatnonzero(scores)
+            found, cosines = np.concatenate([found, places]), np.concatenate([cosines, scores[places]])
             best = np.lexsort((found, -np.round(cosines, 12)))[:k]
             found, cosines = found[best], cosines[best]
+            at, width = at + width, 4 * width
         return found, cosines
 
     def vote(self, counts: dict[int, int], without: int = -1) -> float | None:
@@ -161,8 +167,8 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     by_term = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     both = F.col("a") + F.col("b")
     cross = F.col("a") * clean - F.col("b") * toxic
-    chi = cross * cross * (clean + toxic) / (F.lit(toxic) * clean * both * (clean + toxic - both))
-    kept = by_term.where((both >= LEAST_EXAMPLES) & (both < clean + toxic) & (cross > 0)).select("term", chi.alias("chi")).where(F.col("chi") >= SIGNIFICANT)
+    chi = F.try_divide(cross * cross * (clean + toxic), F.lit(toxic) * clean * both * (clean + toxic - both))
+    kept = by_term.where((both >= LEAST_EXAMPLES) & (F.col("a") * clean >= LIFT * F.col("b") * toxic)).select("term", chi.alias("chi")).where(F.col("chi") >= SIGNIFICANT)
     return [r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
 
 
