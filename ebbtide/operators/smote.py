@@ -6,6 +6,8 @@ is taken and how far the new row lies towards it are hash draws. Generation is n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,12 @@ def synthetic_rows(
     key: str = ID,
     label: str = LABEL,
     plan: tuple[int, int, int] | None = None,
+    search: Callable[[DataFrame, int], DataFrame] = nearest_neighbours,
 ) -> DataFrame:
-    """``key`` (``syn-<id>-<j>``), the seed and neighbour ids, the gap, the features and the label."""
+    """``key`` (``syn-<id>-<j>``), the seed and neighbour ids, the gap, the features and the label.
+
+    ``search`` is ``nearest_neighbours`` (exact) or ``partitioned_neighbours`` (linear cost, approximate).
+    """
     minority, n_min, n_syn = plan or minority_plan(df, label)
     if n_min <= k:
         raise ValueError(f"{n_min} minority rows are too few for {k} neighbours")
@@ -44,7 +50,7 @@ def synthetic_rows(
     )
     base, extra = divmod(n_syn, n_min)
     seeds = F.lit(base) + lowest_hashed(rows, extra, f"extra-{seed}", "id").cast("int")
-    near = nearest_neighbours(rows, k)
+    near = search(rows, k)
     drawn = (
         near.withColumn("seeds", seeds)
         .filter(F.col("seeds") > 0)
@@ -64,7 +70,13 @@ def synthetic_rows(
 
 
 def oversample(
-    df: DataFrame, features: list[str], k: int = NEIGHBOURS, seed=42, key: str = ID, label: str = LABEL
+    df: DataFrame,
+    features: list[str],
+    k: int = NEIGHBOURS,
+    seed=42,
+    key: str = ID,
+    label: str = LABEL,
+    search: Callable[[DataFrame, int], DataFrame] = nearest_neighbours,
 ) -> DataFrame:
     """The given rows and the synthetic ones: both classes are equally large afterwards."""
     columns = [key, *features, label]
@@ -72,5 +84,5 @@ def oversample(
     plan = minority_plan(df, label)
     if plan[2] == 0:
         return original
-    new = synthetic_rows(df, features, k, seed, key, label, plan).select(*[F.col(f"`{name}`") for name in columns])
+    new = synthetic_rows(df, features, k, seed, key, label, plan, search).select(*[F.col(f"`{name}`") for name in columns])
     return original.unionByName(new)
