@@ -82,7 +82,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [number(kind) for kind in pii.PATTERNS]
     base = joined("base", lambda s: s["kind"])
     every = F.concat_ws(",", F.when(F.size("base") > 0, base), joined("terms", lambda s: F.lit("term")))
-    n_terms = F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term")
+    n_terms = F.coalesce(F.array_size("terms"), F.lit(0)).cast("long").alias("n_term")
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), n_terms)
 
 

@@ -68,18 +68,48 @@ def test_drifting_and_star_shaped_groups(spark):
     check(spark, list(enumerate(rows)), 2)
 
 
-def test_pivot_rounds_and_the_exact_finish_agree(spark, monkeypatch):
-    random.seed(12)
+@pytest.mark.parametrize("rare", [0, 3, 32])
+def test_exact_finish_loses_no_link_whatever_is_rare(spark, monkeypatch, rare):
+    """Much-edited copies of one text: many pairs just above and below the limit."""
+    monkeypatch.setattr(near_dedup, "RARE", rare)
+    random.seed(12 + rare)
     star = ["".join(random.choices("abcdefgh", k=5)) for _ in range(60)]
     rows = []
     for k in range(60):
         copy = list(star)
         for _ in range(random.randrange(0, 8)):
-            copy[random.randrange(60)] = f"w{random.randrange(10**6)}"
+            copy[random.randrange(60)] = f"w{random.randrange(40)}"
         rows.append((k, " ".join(copy)))
     check(spark, rows, 2)
 
 
+def test_left_over_pairs_hold_every_link(spark):
+    """Without any pivot: all links between different components come out of the bounds."""
+    random.seed(21)
+    star = ["".join(random.choices("abcdefgh", k=5)) for _ in range(50)]
+    texts = {}
+    for k in range(50):
+        copy = list(star)
+        for _ in range(random.randrange(0, 7)):
+            copy[random.randrange(50)] = f"w{random.randrange(30)}"
+        texts[k] = " ".join(copy)
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in texts.items()])
+    nothing = spark.createDataFrame([], "id long, component long")
+    found = near_dedup._left_over(near_dedup.shingle_sets(docs, 2), nothing, 80)
+    pairs = {tuple(sorted((r["id"], r["other"]))) for r in found.collect()}
+    sets = {i: shingles(t, 2) for i, t in texts.items()}
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) > 50 and links <= pairs
+
+
+def test_one_id_with_several_texts_is_linked_by_any(spark):
+    one, two = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    three = "a1 b1 c1 d1 e1 f1 g1"
+    rows = [(1, one), (1, two), (2, one + " y"), (3, two + " y"), (4, "z z1 z2 z3 z4"), (5, three), (6, three), (6, "z z1 z2 z3 z4")]
+    found = near_dedup.near_duplicates(documents(spark, [(i, t, "en", "s", 0) for i, t in rows]), words=2)
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (6, 4)]
+
+
 def test_nulls_empty_texts_and_repeated_rows(spark):
     found = near_dedup.near_duplicates(documents(spark), words=2).collect()
     assert len(found) == len(ROWS)
