@@ -20,11 +20,11 @@ rows. Further columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 128
 #: Words remembered by a worker before the store is emptied; bytes of text encoded at a time.
-KEPT, SLICE_BYTES = 500_000, 1 << 22
+KEPT, SLICE_BYTES = 700_000, 1 << 22
 
 #: White space followed by a space: there, words cannot be encoded one by one.
-_UNEVEN = re.compile(r"\s ")
+_UNEVEN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 
 
 class WordEncoder:
@@ -59,26 +59,38 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.line_end = int(self.whole("\n")[0])
         self.start()
 
     def start(self) -> None:
         self.rows: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False), strict=True):
-            ids, at = found.ids, len(self.rows)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.sizes[at], self.rows[word] = self.used, len(ids), at
-            self.used += len(ids)
+        """Ask for many words in one text, a line each: a line end alone is a token of its own, which parts them again."""
+        parts = set("\x20".join(words).split())
+        plain = [w for w in words if w in parts]  # without white space inside
+        ids = self.whole("\n".join([" " + w for w in plain]))
+        ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+        if len(ends) == len(plain):
+            self._keep(plain, np.diff(ends, prepend=-1) - 1, ids[ids != self.line_end])
+            words = [w for w in words if w not in parts]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        self._keep(words, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
+
+    def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first, used = len(self.rows), self.used
+        self.used += len(ids)
+        self.flat = _room(self.flat, self.used)
+        self.flat[used : self.used] = ids
+        self.starts, self.sizes = _room(self.starts, first + len(words)), _room(self.sizes, first + len(words))
+        self.sizes[first : first + len(words)] = sizes
+        self.starts[first : first + len(words)] = used + np.cumsum(sizes) - sizes
+        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
@@ -93,23 +105,30 @@ class WordEncoder:
         if len(self.rows) > KEPT:
             self.start()
         plain = pc.fill_null(texts, "").cast(pa.large_string())
-        uneven = np.array([bool(_UNEVEN.search(t)) for t in plain.to_pylist()])
-        words = pc.split_pattern(pc.if_else(pa.array(uneven), "", plain), " ")
+        uneven = pc.match_substring_regex(plain, _UNEVEN)
+        words = pc.split_pattern(pc.if_else(uneven, "", plain), " ")
         offsets, coded = np.asarray(words.offsets) - words.offsets[0].as_py(), words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        unseen = [w for w in distinct if w not in self.rows]
-        if unseen:
+        if unseen := [w for w in distinct if w not in self.rows]:
             self._learn(unseen)
-        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
-        for k, text in enumerate(plain.to_pylist()):
-            if uneven[k]:
-                yield self.whole(text)
-                continue
-            first, *_ = text.split(" ", 1)
-            at = rows[offsets[k] + 1 : offsets[k + 1]]
-            sizes = self.sizes[at]
-            places = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            yield np.concatenate([self.whole(first) if first else self.flat[:0], self.flat[places]])
+        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int32, len(distinct))[np.asarray(coded.indices)]
+        # A text's first word has no space before it and is asked for by itself.
+        sizes = self.sizes[rows]
+        sizes[offsets[:-1]] = 0
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat((self.starts[rows] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
+        firsts = self.tokenizer.encode_batch_fast(coded.dictionary.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist(), add_special_tokens=False)
+        for k, whole in enumerate(uneven.to_pylist()):
+            if whole:
+                yield self.whole(plain[k].as_py())
+            else:
+                rest = ids[ends[offsets[k]] : ends[offsets[k + 1]]]
+                yield np.concatenate([np.array(firsts[k].ids, self.dtype), rest])
+
+
+def _room(array: np.ndarray, needed: int) -> np.ndarray:
+    """The array, made longer if it has fewer places than needed."""
+    return array if needed <= len(array) else np.concatenate([array, np.zeros(max(needed - len(array), len(array) // 2), array.dtype)])
 
 
 @lru_cache(maxsize=2)
