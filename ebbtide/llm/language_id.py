@@ -32,6 +32,8 @@ UNDETERMINED = "und"
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
 LONGEST = 4
+#: Counts above this share a place in the histogram that finds the least count of a known term.
+HIGHEST = 1_000_000
 STEP_BACK = math.log(0.4)
 #: Scores of words kept by a worker.
 KEPT = 300_000
@@ -58,9 +60,19 @@ def _grams(langs: list, words: list) -> Iterator[tuple[tuple, int]]:
 
 
 def _most_frequent(counts: DataFrame, term: str, most: int) -> dict[str, dict[str, int]]:
-    """Counts by language of the `most` terms with the largest sums; at most that many rows reach the driver."""
+    """Counts by language of the most frequent terms, at most `most` of them; terms tied at the limit are left out.
+
+    The least count comes from a histogram of the counts, so that no more than the kept terms reach the driver.
+    """
     by_term = counts.groupBy(term).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    return {row[term]: row["by_lang"] for row in by_term.orderBy(F.desc("total"), term).limit(most).select(term, "by_lang").collect()}
+    totals = counts.groupBy(term).agg(F.sum("n").alias("total")).groupBy(F.least("total", F.lit(HIGHEST)).alias("total")).count().collect()
+    least, kept = 1, 0
+    for total, terms in sorted(((r["total"], r["count"]) for r in totals), reverse=True):
+        kept += terms
+        if kept > most:
+            least = total + 1
+            break
+    return {row[term]: row["by_lang"] for row in by_term.where(F.col("total") >= least).select(term, "by_lang").collect()}
 
 
 class Model:
