@@ -657,10 +657,10 @@ def forest_importances(spark, sf_dir):
 
 @query
 def tree_contribution_reasons(spark, sf_dir):
-    """Contribution sentences from a boosted ensemble for all test rows."""
+    """Contribution sentences from a boosted ensemble for all rows."""
     sets = _sets(spark, sf_dir)
     fitted = fit_classifier(sets.train, sets.features, build_variant("gradient_boosting", False, n_estimators=10))
-    explained = with_tree_contributions(fitted.transform(sets.test), fitted)
+    explained = with_tree_contributions(fitted.transform(sets.train.drop("fold").unionByName(sets.test)), fitted)
     parts = [F.element_at("contributions", i + 1) for i in range(len(sets.features))]
     told = with_contribution_reasons(explained, sets.features, parts)
     return told.select("customer_id", risk.join_texts(F.col("top_reasons")).alias("top_reasons"))
