@@ -36,7 +36,7 @@ LONGEST = 4
 HIGHEST = 1_000_000
 STEP_BACK = math.log(0.4)
 #: Scores of words kept by a worker.
-KEPT = 300_000
+KEPT = 200_000
 
 
 def _words(texts: list, langs: list) -> Iterator[tuple[tuple, int]]:

@@ -85,8 +85,9 @@ def band_keys(signature: np.ndarray) -> list[int]:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): the 128-bit key of the set, and its band keys."""
 
+    keys = WordKeys()
+
     def rows(ids: list, texts: list) -> Iterator[tuple]:
-        keys = WordKeys()
         for doc_id, text in zip(ids, texts, strict=True):
             found = shingle_set(text, words, keys)
             if not len(found):
@@ -101,8 +102,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, keys): the sorted distinct shingle keys of a document as packed 64-bit integers."""
 
+    keys = WordKeys()
+
     def rows(ids: list, texts: list) -> Iterator[tuple]:
-        keys = WordKeys()
         for doc_id, text in zip(ids, texts, strict=True):
             yield doc_id, shingle_set(text, words, keys).tobytes()
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 #: Runs of letters; digits and the underscore separate.
 LETTER_RUNS = re.compile(r"[^\W\d_]+")
 #: A partial count goes out when it holds this many terms, so that a task's memory does not grow with its input.
-FLUSH_TERMS = 200_000
+FLUSH_TERMS = 150_000
 #: Word keys kept by a worker; the store is emptied when full, which costs time only.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
+#: Rows of an Arrow batch turned into Python objects at a time.
+SLICE_ROWS = 2048
 
 
 def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
@@ -31,8 +33,8 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, weight = [], 0
-        for batch in batches:
-            for row in rows(*(column.to_pylist() for column in batch.columns)):
+        for part in _slices(batches):
+            for row in rows(*(column.to_pylist() for column in part.columns)):
                 chunk.append(row)
                 weight += 64 + sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
                 if len(chunk) >= 4096 or weight >= 1 << 24:
@@ -44,6 +46,12 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -
     return df.mapInArrow(run, schema)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def _batch(chunk: list[tuple], arrow: pa.Schema, names: list[str]) -> pa.RecordBatch:
     columns = zip(*chunk, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], names)
@@ -114,8 +122,8 @@ def counted(batches: Iterator[pa.RecordBatch], terms: Callable[..., Iterator[tup
         store.clear()
         return batch
 
-    for batch in batches:
-        for key, n in terms(*(column.to_pylist() for column in batch.columns)):
+    for part in _slices(batches):
+        for key, n in terms(*(column.to_pylist() for column in part.columns)):
             store[key] += n
             if len(store) >= FLUSH_TERMS:
                 yield out()
