@@ -1,16 +1,17 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine over an inverted index of all their terms.
 
 Examples are a bounded sample of the labelled rows: of each class the `per_class` rows with the smallest hash. Terms are
-lower-cased runs of letters. The vocabulary holds the (at most `max_terms`) terms that occur in toxic examples
-significantly (chi-squared) and at least LIFT times as often as in the others, weighted by the inverse document frequency over all documents.
-Whatever the corpus, examples, vocabulary and index have that bound, which is what makes them fit for a broadcast.
-
-Search. Examples are stored in blocks of 64; a term's list holds its postings and, per block, the largest weight. A text
-first gets an upper bound for every block (its weights times the block maxima). Blocks are then scored exactly in the
-order of their bounds until the k-th best cosine is above the next bound, so the k nearest are exact; ties go to the
-example that comes first. Votes of the k nearest are weighted by cosine and by how thinly their class was sampled, and a
-logistic curve fitted to the examples' own leave-one-out votes turns them into scores. A text that shares no term with
-any example gets the rate of toxic rows among such examples.
+lower-cased runs of letters. The vocabulary holds every term of the examples, so a vector is the text's whole TF-IDF
+vector, each term also weighted by its relevance frequency, log2(2 + rate in toxic / rate in other examples) (Lan et al.,
+tf.rf): it moves the cosine towards words that tell the classes apart and leaves none out. The inverse document frequency
+is over all documents. The number of examples bounds vocabulary and index, which is what makes them fit for a broadcast.
+
+Search. A text's terms are the only lists read, each of them whole: its cosine with every example is summed exactly, so
+the k nearest are exact; ties go to the example that comes first. (Bounds by block maxima skip next to nothing when
+vectors hold the everyday words; they are kept as `maxima`, but the search does not depend on them.) Votes of the k
+nearest are weighted by cosine and by how thinly their class was sampled, and a logistic curve fitted to the examples'
+own leave-one-out votes turns them into scores. A text that shares no term with any example gets the rate of toxic rows
+among such examples.
 
 Defined results: NULL and empty texts share no term. Rows with a NULL label or an unknown id teach nothing; an id with
 several labels counts as toxic if one of them is. Without examples of both classes every score is the rate of toxic
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,6 @@ from ebbtide.llm.texts import LETTER_RUNS, sum_terms
 from ebbtide.session import cut_lineage
 
 PER_CLASS = 4096
-MAX_TERMS = 2048
-#: Chi-squared with one degree of freedom at one in a thousand; least examples with the term.
-SIGNIFICANT, LEAST_EXAMPLES = 10.83, 5
-#: Least ratio of a term's rates in toxic and other examples; words that only tell the language stay below.
-LIFT = 3.0
 NEAREST = 15
 BLOCK = 64
 
@@ -47,57 +43,60 @@ def term_counts(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
     return Counter([k for w in LETTER_RUNS.findall(text.lower()) if (k := get(w)) is not None]) if text else {}
 
 
+class Maxima:
+    """Largest weight of a term in each block of examples, made for the terms asked for."""
+
+    def __init__(self, index: Index):
+        self.index = index
+
+    def __getitem__(self, terms: list[int]) -> np.ndarray:
+        found = np.zeros((len(terms), -(-len(self.index.labels) // BLOCK)))
+        for row, term in zip(found, terms, strict=True):
+            inside = slice(self.index.starts[term], self.index.starts[term + 1])
+            np.maximum.at(row, self.index.examples[inside] // BLOCK, self.index.values[inside])
+        return found
+
+
 class Index:
-    """Unit TF-IDF vectors of the examples as postings with block maxima."""
+    """Unit vectors of the examples as postings by term; `idf` holds the weight of each term."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, counts: list[dict[int, int]], labels: np.ndarray, weights: np.ndarray):
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, counts: Iterable[dict[int, int]], labels: np.ndarray, weights: np.ndarray):
         self.vocabulary = {t: k for k, t in enumerate(vocabulary)}
         self.idf = idf
         self.labels, self.weights = labels, weights
         vectors = [self.vector(c) for c in counts]
-        self.blocks = -(-len(vectors) // BLOCK)
-        columns: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for example, (terms, values) in enumerate(vectors):
-            for term, value in zip(terms, values, strict=True):
-                columns[term].append((example, value))
-        self.examples = [np.array([e for e, _ in c], np.int32) for c in columns]
-        self.values = [np.array([v for _, v in c], np.float64) for c in columns]
-        self.maxima = np.zeros((len(vocabulary), self.blocks))
-        for term, (examples, values) in enumerate(zip(self.examples, self.values, strict=True)):
-            np.maximum.at(self.maxima[term], examples // BLOCK, values)
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(vocabulary)))])
+        self.examples = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])[order]
+        self.values = np.concatenate([v for _, v in vectors])[order] if vectors else np.empty(0)
+
+    @property
+    def maxima(self) -> Maxima:
+        return Maxima(self)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights (1 + log tf) * idf, scaled to length 1."""
+        """Terms and weights (1 + log tf) * weight of the term, scaled to length 1."""
         terms = np.array(sorted(counts), np.int64)
-        values = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in terms.tolist()])
+        values = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms]
         return terms, values / np.linalg.norm(values) if len(values) else values
 
     def nearest(self, counts: dict[int, int], k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples with the largest positive cosine and the cosines, largest first; `without` is left out."""
         terms, values = self.vector(counts)
-        bounds = values @ self.maxima[terms] if len(terms) else np.zeros(self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[: int((bounds > 0).sum())]
-        found, cosines, at, width = np.empty(0, np.int64), np.empty(0), 0, 2
-        while at < len(order):
-            # A margin for rounding: a bound is a sum in another order than the cosine it bounds.
-            if len(found) == k and cosines[-1] > bounds[order[at]] + 1e-9:
-                break
-            alive = np.zeros(self.blocks, bool)
-            alive[order[at : at + width]] = True
-            scores = np.zeros(self.blocks * BLOCK)
-            for term, value in zip(terms.tolist(), values.tolist(), strict=True):
-                examples = self.examples[term]
-                inside = alive[examples // BLOCK]
-                scores[examples[inside]] += value * self.values[term][inside]
-            if without >= 0:
-                scores[without] = 0
-            places = np.flatnonzero(scores)
-            found, cosines = np.concatenate([found, places]), np.concatenate([cosines, scores[places]])
-            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
-            found, cosines = found[best], cosines[best]
-            at, width = at + width, 4 * width
-        return found, cosines
+        if not len(terms):
+            return np.empty(0, np.int64), np.empty(0)
+        starts, ends = self.starts[terms], self.starts[terms + 1]
+        lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        examples, weights = np.concatenate([self.examples[x] for x in lists]), np.concatenate([self.values[x] for x in lists])
+        scores = np.bincount(examples, weights * np.repeat(values, ends - starts), len(self.labels))
+        if without >= 0:
+            scores[without] = 0
+        # A margin for rounding: ties are found among cosines rounded to 12 places.
+        least = np.partition(scores, -k)[-k] - 1e-9 if len(scores) > k else 0.0
+        found = np.flatnonzero((scores >= least) & (scores > 0))
+        found = found[np.lexsort((found, -np.round(scores[found], 12)))[:k]]
+        return found, scores[found]
 
     def vote(self, counts: dict[int, int], without: int = -1) -> float | None:
         """Share of toxic neighbours by cosine and sampling weight; None without a neighbour."""
@@ -126,7 +125,7 @@ def _logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tup
 class Model:
     """Index and calibration."""
 
-    def __init__(self, index: Index | None, rate: float, counts: list[dict[int, int]]):
+    def __init__(self, index: Index | None, rate: float, counts: Iterable[dict[int, int]]):
         self.index, self.none, self.curve = index, rate, (0.0, 0.0)
         if index is None:
             return
@@ -153,8 +152,8 @@ def sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]
     return parts[0].union(parts[1]), sizes
 
 
-def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
-    """Terms that toxic examples have significantly more often, the most significant first."""
+def _vocabulary(examples: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Every term of the examples and its relevance frequency."""
 
     def rows(texts: list, labels: list) -> Iterator[tuple[tuple, int]]:
         for text, label in zip(texts, labels, strict=True):
@@ -162,17 +161,16 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
                 yield (term, label), 1
 
     sizes = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    clean, toxic = float(sizes.get(0, 0)), float(sizes.get(1, 0))
+    clean, toxic = max(sizes.get(0, 0), 1), max(sizes.get(1, 0), 1)
     counts = sum_terms(examples.select("text", "toxic"), rows, "term string, toxic int")
-    by_term = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    both = F.col("a") + F.col("b")
-    cross = F.col("a") * clean - F.col("b") * toxic
-    chi = F.try_divide(cross * cross * (clean + toxic), F.lit(toxic) * clean * both * (clean + toxic - both))
-    kept = by_term.where((both >= LEAST_EXAMPLES) & (F.col("a") * clean >= LIFT * F.col("b") * toxic)).select("term", chi.alias("chi")).where(F.col("chi") >= SIGNIFICANT)
-    return [r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
+    a, b = (F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(name) for k, name in ((1, "a"), (0, "b")))
+    # Bounded: terms of the examples.
+    found = counts.groupBy("term").agg(a, b).toArrow().sort_by("term")
+    a, b = (found[name].to_numpy().astype(np.float64) for name in ("a", "b"))
+    return found["term"].to_pylist(), np.log2(2 + (a / toxic) / (np.maximum(b, 1) / clean))
 
 
-def _document_frequency(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+def _document_frequency(texts: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
     """Over all rows: documents with each vocabulary term, and documents."""
     numbers = texts.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(vocabulary)})
 
@@ -182,33 +180,47 @@ def _document_frequency(texts: DataFrame, vocabulary: list[str]) -> tuple[dict[s
             for term in term_counts(text, numbers.value):
                 yield (term,), 1
 
-    found = {r["term"]: r["n"] for r in sum_terms(texts, rows, "term int").collect()}
-    return {vocabulary[k]: n for k, n in found.items() if k >= 0}, found.get(-1, 0)
+    found = sum_terms(texts, rows, "term int").toArrow()
+    frequency = np.zeros(len(vocabulary) + 1, np.int64)
+    frequency[found["term"].to_numpy()] = found["n"].to_numpy()
+    return frequency[:-1], int(frequency[-1])
+
+
+class Counts:
+    """The examples' term counts, packed; made into dicts one by one."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __iter__(self) -> Iterator[dict[int, int]]:
+        for terms, counts in (np.frombuffer(x, np.int32).reshape(2, -1).tolist() for x in self.packed):
+            yield dict(zip(terms, counts, strict=True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Model from `labels` (doc_id, toxic: the rows that may teach) and the texts of `docs` (doc_id, text)."""
     chosen, sizes = sample(labels, per_class)
     known = sum(sizes.values())
     rate = sizes.get(1, 0) / known if known else 0.0
     # At most 2 * per_class rows of two numbers: small whatever the corpus.
     examples = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
-    vocabulary = _vocabulary(examples, max_terms) if sizes.get(0) and sizes.get(1) else []
+    vocabulary, relevance = _vocabulary(examples) if sizes.get(0) and sizes.get(1) else ([], None)
     if not vocabulary:
         return Model(None, rate, [])
     frequency, total = _document_frequency(docs.select("text"), vocabulary)
-    idf = np.array([math.log((1 + total) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary])
+    idf = (np.log((1 + total) / (1 + frequency)) + 1) * relevance
     numbers = examples.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(vocabulary)})
 
-    @F.udf("map<int, int>", useArrow=True)
-    def counted(text: str | None) -> dict[int, int]:
-        return dict(term_counts(text, numbers.value))
+    @F.udf("binary", useArrow=True)
+    def counted(text: str | None) -> bytes:
+        found = term_counts(text, numbers.value)
+        return np.array([list(found), list(found.values())], np.int32).tobytes()
 
-    # Bounded: the examples' vocabulary terms, not their texts.
+    # Bounded: the examples' term counts, not their texts.
     rows = examples.select("doc_id", "toxic", counted("text").alias("counts")).orderBy("doc_id", F.xxhash64("text")).collect()
     present = Counter(r["toxic"] for r in rows)
     weights = np.array([sizes[r["toxic"]] / present[r["toxic"]] for r in rows])
-    counts = [r["counts"] or {} for r in rows]
+    counts = Counts([r["counts"] for r in rows])
     return Model(Index(vocabulary, idf, counts, np.array([float(r["toxic"]) for r in rows]), weights), rate, counts)
 
 

@@ -73,6 +73,25 @@ def test_learned_terms_and_odd_rows(spark):
     assert len(found) == len(ROWS) and all(0 <= r["s"] <= 1 for r in found)
 
 
+def test_vectors_hold_every_term_of_the_examples(spark):
+    docs, labels = taught(spark)
+    index = toxicity.learn(docs, labels).index
+    words = {w for r in docs.collect() for w in r["text"].split()}
+    assert set(index.vocabulary) == words and {"alpha", "zeta"} < words
+    number = index.vocabulary
+    assert index.idf.min() > 0 and index.idf[number["vile"]] > 2 * index.idf[number["alpha"]]
+    only = index.nearest({number["alpha"]: 1})[0]
+    assert len(only) == toxicity.NEAREST
+
+
+def test_every_term_moves_the_score(spark):
+    """Everyday words alone choose the neighbours of a text without a telling word."""
+    rows = [(k, ("red green blue " * 3 if k % 2 else "one two three " * 3) + f"word{chr(97 + k % 5)}", "en", "s", 0) for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 1 and k % 3 != 0)) for k in range(40)], "doc_id long, toxic int")
+    model = toxicity.learn(documents(spark, rows), labels)
+    assert model.score("green blue") > 0.5 > model.score("two three")
+
+
 def test_without_examples_the_rate_is_left(spark):
     docs, labels = taught(spark)
     assert toxicity.learn(docs, labels.limit(0)).score("vile") == 0.0
