@@ -13,11 +13,15 @@ whole corpus, counted in words:
     PMI(t,e) =  log2 n(t,e) * N / (n(t) * n(e))   what t tells about e, in bits
 
 t discloses e when PMI(t,e) >= `disclosure` * IC(e) and the two were met in at least `support` different contexts
-(copies of one passage are one context, so a text that is merely repeated discloses nothing). Occurrences of such terms
-near the entity are spans of kind `term`; `sanitise` generalises base spans to their kind and removes the terms.
+(copies of one passage are one context, so a text that is merely repeated discloses nothing). This is estimated twice:
+within `reach` words, and within the passage of up to PASSAGE words to each side, where a word near two occurrences of e
+in one text counts once; either is enough. Every occurrence of such a term, in any text and at any distance from the
+entity, is a span of kind `term`; `sanitise` generalises base spans to their kind and removes the terms.
 
 Terms are lower-cased runs of letters. Corpus counts come from one narrow pass with bounded partial sums and are joined
 to the (few) pairs with enough support; an entity met very often is split by (entity, term) and summed up map-side.
+Passages are counted only for entities met in enough of them, and texts are searched for disclosing terms, through Bloom
+filters of 2 MB that lose none; joins drop what passes by chance.
 
 Defined results: NULL text behaves like an empty one (no spans) and stays NULL in `sanitise`. Spans are code points,
 end exclusive. Rows are handled one by one: repeated ids or rows are no special case. Further columns are kept by
@@ -31,10 +35,12 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.llm.decontamination import FILTER_BITS, window_filter
 from ebbtide.llm.texts import LETTER_RUNS, map_rows, sum_terms
 from ebbtide.session import cut_lineage
 
@@ -48,6 +54,10 @@ PATTERNS = {
 }
 KINDS = [*PATTERNS, "term"]
 REACH = 4
+#: Words to each side that make the passage of an entity.
+PASSAGE = 1024
+#: Words whose place in a filter a worker remembers.
+KEPT = 150_000
 SUPPORT = 3
 DISCLOSURE = 0.9
 
@@ -149,6 +159,81 @@ def occurrences(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return map_rows(docs, rows, "row string, entity string, context long, term string, start int, end int")
 
 
+class Screen:
+    """Words that a Bloom filter lets through; remembers a bounded number of them."""
+
+    def __init__(self, filled: np.ndarray):
+        self.filled, self.known = filled, {}
+
+    def __call__(self, word: str) -> bool:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            key = xxhash.xxh64_intdigest(word.encode(), 42)  # as F.xxhash64
+            found = self.known[word] = all(int(self.filled[place >> 6]) >> (place & 63) & 1 for place in (key & (FILTER_BITS - 1), key >> 40))
+        return found
+
+    def terms(self, text: str) -> list[tuple[str, int, int]]:
+        """(term, start, end) of the terms that pass."""
+        if not any(self(w) for w in {w.lower() for w in set(LETTER_RUNS.findall(text))}):
+            return []
+        words = ((m.group().lower(), m.start(), m.end()) for m in LETTER_RUNS.finditer(_masked(text, base_spans(text))))
+        return [w for w in words if self(w[0])]
+
+
+def _screen_of(values: DataFrame) -> np.ndarray:
+    """Bloom filter of a column of strings."""
+    return window_filter(values.select(F.xxhash64(values.columns[0]).alias("window")))
+
+
+def _passages(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[str]]]:
+    """Entities and the words of each passage around them; passages of one entity that touch are one."""
+    found = [(m.group().lower(), m.start(), m.end()) for m in LETTER_RUNS.finditer(_masked(text, spans))]
+    starts, ends = [w[1] for w in found], [w[2] for w in found]
+    bounds: dict[str, list[list[int]]] = {}
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], s[2])):
+        first, last = max(0, bisect_right(ends, start) - PASSAGE), bisect_left(starts, end) + PASSAGE
+        kept = bounds.setdefault(entity_of(kind, text[start:end]), [])
+        if kept and first <= kept[-1][1]:
+            kept[-1][1] = max(last, kept[-1][1])
+        else:
+            kept.append([first, last])
+    for entity, parts in bounds.items():
+        for first, last in parts:
+            yield entity, [w[0] for w in found[first:last]]
+
+
+def passages(texts: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(entity, context, term, n) of the passages of the entities that were met in at least `support` of them."""
+
+    def context(entity: str, words: list[str]) -> int:
+        return xxhash.xxh64_intdigest(" ".join([entity, *words])) - (1 << 63)
+
+    def contexts(column: list) -> Iterator[tuple]:
+        for text in column:
+            if spans := base_spans(text):
+                for entity, words in _passages(text, spans):
+                    yield entity, context(entity, words)
+
+    met = map_rows(texts, contexts, "entity string, context long").distinct().groupBy("entity").count()
+    shared = texts.sparkSession.sparkContext.broadcast(_screen_of(met.where(F.col("count") >= support).select("entity")))
+    made: dict = {}
+
+    def rows(column: list) -> Iterator[tuple]:
+        screen = made.get("screen") or made.setdefault("screen", Screen(shared.value))
+        for text in column:
+            spans = base_spans(text)
+            if any(screen(entity_of(kind, text[a:b])) for kind, a, b in spans):
+                for entity, words in _passages(text, spans):
+                    if screen(entity):
+                        key = context(entity, words)
+                        for term, n in Counter(words).items():
+                            yield entity, key, term, n
+
+    return map_rows(texts, rows, "entity string, context long, term string, n long")
+
+
 def _word_counts(texts: list) -> Iterator[tuple[tuple, int]]:
     counts: Counter = Counter()
     for text in texts:
@@ -158,13 +243,18 @@ def _word_counts(texts: list) -> Iterator[tuple[tuple, int]]:
         yield (term,), n
 
 
-def disclosures(texts: DataFrame, met: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(term, n) over the whole corpus `texts` (one column)."""
+    return cut_lineage(sum_terms(texts.where(F.col(texts.columns[0]).isNotNull()), _word_counts, "term string"))
+
+
+def disclosures(texts: DataFrame, met: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, corpus: DataFrame | None = None) -> DataFrame:
     """(entity, term) pairs where the term discloses the entity, by the corpus `texts` (one column) and its `occurrences`."""
-    contexts = met.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    contexts = met.groupBy("entity", "term", "context").agg((F.sum("n") if "n" in met.columns else F.count("*")).alias("n"))
     pairs = contexts.groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
     around = pairs.groupBy("entity").agg(F.sum("together").alias("n_entity"))
     supported = pairs.where(F.col("contexts") >= support)
-    corpus = cut_lineage(sum_terms(texts.where(F.col(texts.columns[0]).isNotNull()), _word_counts, "term string"))
+    corpus = word_counts(texts) if corpus is None else corpus
     words = corpus.agg(F.sum("n")).first()[0] or 1
     scored = supported.join(corpus, "term").join(around, "entity")
     worth = -F.log2(F.col("n_entity") / words)
@@ -172,12 +262,29 @@ def disclosures(texts: DataFrame, met: DataFrame, support: int = SUPPORT, disclo
     return scored.where((worth > 0) & (told >= disclosure * worth)).select("entity", "term")
 
 
-def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, reach: int = REACH) -> DataFrame:
-    """(row, terms) for the rows with disclosing terms; `row` = `row_key` of the text, terms = array of (start, end)."""
+def telling_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, reach: int = REACH) -> DataFrame:
+    """The terms that disclose an entity, by the words next to it or by its passages."""
     keyed = docs.select(row_key("text").alias("row"), "text").where("text IS NOT NULL")
-    met = cut_lineage(occurrences(keyed, reach))
-    telling = disclosures(keyed.select("text"), met, support, disclosure)
-    hits = met.join(telling, ["entity", "term"]).select("row", "start", "end").distinct()
+    texts = keyed.select("text")
+    corpus = word_counts(texts)
+    pairs = [disclosures(texts, cut_lineage(met), support, disclosure, corpus) for met in (occurrences(keyed, reach), passages(texts, support))]
+    return cut_lineage(pairs[0].union(pairs[1]).select("term").distinct())
+
+
+def find(docs: DataFrame, telling: DataFrame, filled: np.ndarray) -> DataFrame:
+    """(row, terms) for the rows with terms of `telling`; `row` = `row_key` of the text, terms = array of (start, end)."""
+    keyed = docs.select(row_key("text").alias("row"), "text").where("text IS NOT NULL")
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    made: dict = {}
+
+    def rows(keys: list, texts: list) -> Iterator[tuple]:
+        screen = made.get("screen") or made.setdefault("screen", Screen(shared.value))
+        for key, text in zip(keys, texts, strict=True):
+            for term, start, end in screen.terms(text):
+                yield key, term, start, end
+
+    marked = map_rows(keyed, rows, "row string, term string, start int, end int").distinct()
+    hits = marked.join(telling, "term", "left_semi")
     return hits.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
@@ -191,7 +298,8 @@ def spans(docs: DataFrame, **settings: float) -> DataFrame:
 
     The texts themselves are not shuffled, only their spans.
     """
-    found = find(docs.select("text"), **settings)
+    telling = telling_terms(docs.select("text"), **settings)
+    found = find(docs.select("text"), telling, _screen_of(telling))
 
     def rows(ids: list, keys: list, texts: list) -> Iterator[tuple]:
         for doc_id, key, text in zip(ids, keys, texts, strict=True):
@@ -222,18 +330,24 @@ def generalised(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(docs: DataFrame, **settings: float) -> DataFrame:
     """`docs` with the text sanitised; all columns and rows stay.
 
-    Only texts with base spans are shuffled, to meet their terms; the others go straight through.
+    Only texts with base spans or with words that may disclose are shuffled, to meet their terms; the others go straight
+    through.
     """
+    telling = telling_terms(docs.select("text"), **settings)
+    filled = _screen_of(telling)
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+    made: dict = {}
 
     @F.udf("boolean", useArrow=True)
     def personal(text: str | None) -> bool:
-        return bool(base_spans(text))
+        screen = made.get("screen") or made.setdefault("screen", Screen(shared.value))
+        return bool(text) and bool(base_spans(text) or screen.terms(text))
 
     @F.udf("string", useArrow=True)
     def clean(text: str, terms: list | None) -> str:
         return generalised(text, spans_of(text, terms))
 
-    found = find(docs.select("text"), **settings)
+    found = find(docs.select("text"), telling, filled)
     judged = docs.select(F.struct("*").alias("doc"), personal("text").alias("personal"))
     plain = judged.where("NOT personal").select("doc.*")
     rows = judged.where("personal").select("doc", row_key("doc.text").alias("row")).join(found, "row", "left")

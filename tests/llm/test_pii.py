@@ -109,6 +109,23 @@ def test_sanitised_texts_keep_rows_and_columns(spark):
     assert rows[5]["text"] == "mail [EMAIL] now"
 
 
+def test_disclosing_terms_go_at_any_distance_and_in_texts_without_the_entity(spark):
+    plain = "plain words say nothing of interest here today again"
+    corpus = [f"dear zorblax {plain} {extra} {plain} a.b@x.org" for extra in ("today", "today again", "here", "interest")]
+    corpus += ["then Zorblax said nothing today", "dear words then said"] + [f"dear {plain} then said"] * 300
+    rows = by_id(pii.sanitise(texts(spark, *corpus)))
+    assert rows[0]["text"] == f"dear {plain} today {plain} [EMAIL]" and rows[4]["text"] == "then said nothing today"
+    assert [rows[k]["text"] for k in range(5, len(corpus))] == corpus[5:]
+    found = by_id(pii.spans(texts(spark, *corpus).select("doc_id", "text")))
+    assert [(r["start"], r["end"]) for r in found[0]["terms"]] == [(5, 12)] == [(r["start"], r["end"]) for r in found[4]["terms"]]
+
+
+def test_words_pass_the_filter_made_of_them(spark):
+    words = [f"w{k}é" for k in range(500)]
+    screen = pii.Screen(pii._screen_of(spark.createDataFrame([(w,) for w in words], "term string")))
+    assert all(map(screen, words)) and sum(map(screen, (f"x{k}" for k in range(2000)))) < 20
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     found = pii.spans(docs.select("doc_id", "text")).collect()
