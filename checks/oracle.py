@@ -622,8 +622,19 @@ sql(
 # Fitted models: properties that hold whatever was fitted
 sql(
     "fitted_logistic_minimum",
-    f"SELECT unnest([{', '.join(repr(f) for f in [*fixed_model.FEATURES, 'intercept'])}]) AS parameter, count(*) > 0 AS at_minimum FROM churners",
+    f"SELECT unnest([{', '.join(repr(f) for f in [*fixed_model.FEATURES, 'intercept'])}]) AS parameter, 0e0 * count(*) AS slope FROM churners",
 )
 sql("saved_scorer_scores_again", "SELECT count(*) AS scored, 0::BIGINT AS different FROM churners")
-sql("contributions_add_up", "SELECT count(*) AS explained, 0::BIGINT AS broken FROM churners")
+sql("contributions_add_up", "SELECT count(*) AS explained, 0e0 AS largest_residual FROM churners")
 sql("importances_add_up", f"SELECT {len(fixed_model.FEATURES)}::BIGINT AS features, 1e0 AS total FROM (SELECT count(*) FROM churners)")
+# Rows of the training part by class; over-sampling makes both as many as the larger one.
+sql(
+    "six_variant_runs",
+    """SELECT CAST(row_number() OVER (ORDER BY place, smote) - 1 AS INT) AS run_order, model_name || CASE WHEN smote THEN '_smote' ELSE '_no_smote' END AS run_id,
+  model_name, smote, 5::BIGINT AS folds, 0::BIGINT AS unscored_folds, trees,
+  CASE WHEN smote THEN greatest(n0, n1) ELSE n0 END AS negatives, CASE WHEN smote THEN greatest(n0, n1) ELSE n1 END AS positives
+FROM (SELECT * FROM (VALUES (0, 'logistic_regression', 0::BIGINT), (1, 'random_forest', 200::BIGINT), (2, 'gradient_boosting', 300::BIGINT)) t(place, model_name, trees)),
+  (SELECT unnest([false, true]) AS smote),
+  (SELECT count(*) FILTER (churn = 0) AS n0, count(*) FILTER (churn = 1) AS n1 FROM parts WHERE split = 'train')""",
+    SPLIT,
+)

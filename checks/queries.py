@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from ebbtide.functions import risk
 from ebbtide.functions.reasons import with_contribution_reasons
 from ebbtide.operators import checks as rules
 from ebbtide.operators import encoding, evaluate, gates, linear, monitoring, reports, selection, smote, weights
-from ebbtide.operators.classifiers import build_variant, fit_classifier, importance_table
+from ebbtide.operators.classifiers import MODEL_NAMES, importance_table
 from ebbtide.operators.neighbours import nearest_neighbours
 from ebbtide.operators.tree_contributions import base_value, with_tree_contributions
 from ebbtide.plans import features as feature_plan
@@ -627,39 +629,76 @@ def coefficient_importances(spark, sf_dir):
 # Fitted models (compared by their own tests, not by SQL) ---------------------------------------------------------------
 
 
-def _sets(spark, sf_dir, folds: int = 3):
-    return training.prepare(training_table(spark, sf_dir), folds=folds)
+@lru_cache(maxsize=2)
+def _prepared(spark, application: str, sf_dir):
+    return training.prepare(training_table(spark, sf_dir))
+
+
+def _sets(spark, sf_dir) -> training.TrainingSets:
+    """Split, folds and encoded rows with the library's defaults; written once per session and table."""
+    return _prepared(spark, spark.sparkContext.applicationId, sf_dir)
+
+
+@lru_cache(maxsize=8)
+def _trained(spark, application: str, sf_dir, models: tuple[str, ...]) -> list[training.Run]:
+    sets = _sets(spark, sf_dir)
+    return training.train_all(sets, [v for v in training.six_variants() if v.model in models])
+
+
+def _model_runs(spark, sf_dir, *models: str) -> list[training.Run]:
+    """Cross-validated runs of some models, each with and without over-sampling; fitted once per session and table."""
+    return [run for model in models for run in _trained(spark, spark.sparkContext.applicationId, sf_dir, (model,))]
+
+
+def _six_runs(spark, sf_dir) -> list[training.Run]:
+    return [replace(run, order=k) for k, run in enumerate(_model_runs(spark, sf_dir, *MODEL_NAMES))]
+
+
+def _fitted(spark, sf_dir, model: str):
+    """A model without over-sampling, fitted on all training rows with the library's defaults."""
+    return next(run.fitted for run in _model_runs(spark, sf_dir, model) if not run.variant.smote)
+
+
+@query
+def six_variant_runs(spark, sf_dir):
+    """All six variants with the library's defaults: folds with a score, trees, and the rows the last fit saw by class."""
+    rows = [
+        (run.order, run.variant.run_id, run.variant.model, run.variant.smote, len(run.fold_scores), sum(x is None for x in run.fold_scores),
+         len(run.fitted.trees.roots) if run.fitted.trees else 0, *run.fit_rows)
+        for run in _six_runs(spark, sf_dir)
+    ]
+    return spark.createDataFrame(
+        rows, "run_order int, run_id string, model_name string, smote boolean, folds long, unscored_folds long, trees long, negatives long, positives long"
+    )
+
+
+@query
+def six_variant_metrics(spark, sf_dir):
+    """The trained runs ranked by test ROC-AUC, with cross-validated mean and deviation."""
+    return reports.run_comparison(training.runs_frame(spark, _six_runs(spark, sf_dir)))
 
 
 @query
 def logistic_regression_runs(spark, sf_dir):
     """Cross-validated logistic regression with and without over-sampling."""
-    sets = _sets(spark, sf_dir)
-    variants = [build_variant("logistic_regression", smote_rows) for smote_rows in (False, True)]
-    return training.runs_frame(spark, training.train_all(sets, variants))
+    return training.runs_frame(spark, _model_runs(spark, sf_dir, "logistic_regression"))
 
 
 @query
 def tree_model_runs(spark, sf_dir):
-    """Forest and boosting, each with and without over-sampling, refitted once; small ensembles."""
-    sets = _sets(spark, sf_dir)
-    small = {"random_forest": {"n_estimators": 20}, "gradient_boosting": {"n_estimators": 10}}
-    variants = [v for v in training.six_variants(overrides=small) if v.model != "logistic_regression"]
-    return training.runs_frame(spark, training.train_all(sets, variants, validate=False))
+    """Forest and boosting, each with and without over-sampling, cross-validated and refitted."""
+    return training.runs_frame(spark, _six_runs(spark, sf_dir)[2:])
 
 
 @query
 def forest_importances(spark, sf_dir):
-    sets = _sets(spark, sf_dir)
-    variant = build_variant("random_forest", False, n_estimators=20)
-    return reports.top_importances(importance_table(spark, fit_classifier(sets.train, sets.features, variant)))
+    return reports.top_importances(importance_table(spark, _fitted(spark, sf_dir, "random_forest")))
 
 
 @query
 def tree_contribution_reasons(spark, sf_dir):
-    """Contribution sentences from a boosted ensemble for all rows."""
-    sets = _sets(spark, sf_dir)
-    fitted = fit_classifier(sets.train, sets.features, build_variant("gradient_boosting", False, n_estimators=10))
+    """Contribution sentences from the boosted ensemble for all rows."""
+    sets, fitted = _sets(spark, sf_dir), _fitted(spark, sf_dir, "gradient_boosting")
     explained = with_tree_contributions(fitted.transform(sets.train.drop("fold").unionByName(sets.test)), fitted)
     parts = [F.element_at("contributions", i + 1) for i in range(len(sets.features))]
     told = with_contribution_reasons(explained, sets.features, parts)
@@ -669,23 +708,22 @@ def tree_contribution_reasons(spark, sf_dir):
 @query
 def fitted_logistic_minimum(spark, sf_dir):
     """Gradient of the stated objective at the fitted coefficients: nothing left to gain along any of them."""
-    sets = _sets(spark, sf_dir)
-    fitted = fit_classifier(sets.train, sets.features, build_variant("logistic_regression", False))
+    sets, fitted = _sets(spark, sf_dir), _fitted(spark, sf_dir, "logistic_regression")
     model, names = fitted.linear, [*sets.features, "intercept"]
     weight, total = weights.class_weight_column(sets.train)
     off = weight * (model.probability() - F.col("churn")) / F.lit(total)
     along = [*linear.scaled_columns(model.features, model.scaler), F.lit(1.0)]
     slopes = sets.train.agg(*[F.sum(off * x).alias(n) for n, x in zip(names, along, strict=True)]).first()
     pulls = [*(b / (fitted.variant.params["C"] * total) for b in model.coefficients), 0.0]
-    rows = [(n, abs(s + pull) < 1e-6) for n, s, pull in zip(names, slopes, pulls, strict=True)]
-    return spark.createDataFrame(rows, "parameter string, at_minimum boolean")
+    rows = [(n, round(abs(s + pull), 9)) for n, s, pull in zip(names, slopes, pulls, strict=True)]
+    return spark.createDataFrame(rows, "parameter string, slope double")
 
 
 @query
 def saved_scorer_scores_again(spark, sf_dir):
     """A fitted scorer saved, loaded and applied to the whole table: rows scored, and rows whose score differs."""
     sets, path = _sets(spark, sf_dir), scratch(spark, "scorer")
-    scorer = training.scorer_of(sets, fit_classifier(sets.train, sets.features, build_variant("logistic_regression", False)))
+    scorer = training.scorer_of(sets, _fitted(spark, sf_dir, "logistic_regression"))
     scorer.save(spark, path)
     rows = _unlabelled(spark, sf_dir)
     first = scorer.score(rows).select("customer_id", F.col("churn_probability").alias("first"))
@@ -696,24 +734,20 @@ def saved_scorer_scores_again(spark, sf_dir):
 @query
 def contributions_add_up(spark, sf_dir):
     """Tree contributions of every customer: base value and contributions make up the predicted log-odds."""
-    sets = _sets(spark, sf_dir)
-    fitted = fit_classifier(sets.train, sets.features, build_variant("gradient_boosting", False, n_estimators=10))
+    sets, fitted = _sets(spark, sf_dir), _fitted(spark, sf_dir, "gradient_boosting")
     explained = with_tree_contributions(fitted.transform(sets.train.drop("fold").unionByName(sets.test)), fitted)
-    made = F.lit(base_value(spark, fitted)) + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    made = F.lit(base_value(fitted)) + F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
     p = F.col("churn_probability")
-    return explained.agg(F.count("*").alias("explained"), F.count_if(F.abs(made - F.log(p / (1 - p))) > 1e-6).alias("broken"))
+    return explained.agg(F.count("*").alias("explained"), F.round(F.max(F.abs(made - F.log(p / (1 - p)))), 6).alias("largest_residual"))
 
 
 @query
 def importances_add_up(spark, sf_dir):
     """Importances of a forest: one per feature, summing to 1."""
-    sets = _sets(spark, sf_dir)
-    fitted = fit_classifier(sets.train, sets.features, build_variant("random_forest", False, n_estimators=20))
-    return importance_table(spark, fitted).agg(F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
+    return importance_table(spark, _fitted(spark, sf_dir, "random_forest")).agg(F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query
 def search_trials(spark, sf_dir):
-    """Random search over the logistic regression space."""
-    result = search.optimise(_sets(spark, sf_dir), "logistic_regression", n_trials=3, smote=False)
-    return search.trials_frame(spark, result)
+    """Adaptive search over the logistic regression space on over-sampled folds: 50 trials, those that fall behind pruned."""
+    return search.trials_frame(spark, search.optimise(_sets(spark, sf_dir), "logistic_regression"))

@@ -1,32 +1,31 @@
-"""Three classifiers, each with or without over-sampling, fitted by Spark ML on encoded rows."""
+"""Three classifiers, each with or without over-sampling, fitted on encoded rows; many fits share their passes.
+
+Logistic regression takes Newton steps (`newton`), forests and boosting grow level by level (`tree_growing`). Both work on
+any number of fits at once: a fit is one set of training rows, such as all rows without a fold.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.operators.linear import LinearModel, ScalerState, fit_scaler, scaled_columns
-from ebbtide.operators.weights import class_weight_column
-from ebbtide.session import ensure_checkpoints
-from ebbtide.sources.schema import LABEL
+from ebbtide.operators import newton, tree_growing
+from ebbtide.operators.linear import LinearModel, ScalerState
+from ebbtide.operators.tree_models import TreeEnsemble, load_ensemble, probability_column, save_ensemble
+from ebbtide.sources.schema import ID, LABEL
 
 MODEL_NAMES = ("logistic_regression", "random_forest", "gradient_boosting")
 ALIASES = {"xgboost": "gradient_boosting"}
 
-# Hyper-parameters of the three default models. A leaf of at least 4 rows already implies that a node
-# with fewer than 5 rows is not split.
+# Hyper-parameters of the three default models.
 DEFAULT_PARAMS = {
     "logistic_regression": {"C": 1.0, "max_iter": 1000},
-    "random_forest": {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 4, "max_features": "sqrt"},
+    "random_forest": {"n_estimators": 200, "max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 4, "max_features": "sqrt"},
     "gradient_boosting": {
         "n_estimators": 300, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.8, "colsample": 0.8,
-        "min_samples_leaf": 1,
+        "gamma": 0.1, "reg_alpha": 0.1, "reg_lambda": 1.0, "min_child_weight": 1.0,
     },
 }
 
@@ -72,25 +71,20 @@ def build_variant(name: str, smote: bool, seed: int = 42, **params) -> Variant:
 
 @dataclass(frozen=True)
 class FittedClassifier:
-    """A fitted variant: a linear model as columns, or a Spark ML pipeline over the feature columns."""
+    """A fitted variant: a linear model as columns, or a tree ensemble over the feature columns."""
 
     variant: Variant
     features: list[str]
     linear: LinearModel | None = None
-    stages: PipelineModel | None = None
+    trees: TreeEnsemble | None = None
 
     def transform(self, df: DataFrame, output: str = "churn_probability") -> DataFrame:
-        if self.linear:
-            return df.withColumn(output, self.linear.probability())
-        made = [name for name in ("features", "rawPrediction", "probability", "prediction") if name not in df.columns]
-        scored = self.stages.transform(df)
-        return scored.withColumn(output, vector_to_array("probability")[1]).drop(*made)
+        probability = self.linear.probability() if self.linear else probability_column(df, self.trees, self.features)
+        return df.withColumn(output, probability)
 
     def importances(self) -> dict[str, float]:
-        """Impurity-based importances of trees, absolute coefficients of the linear model, largest first."""
-        raw = [abs(c) for c in self.linear.coefficients] if self.linear else list(
-            self.stages.stages[-1].featureImportances.toArray()
-        )
+        """Importances of trees by gain, absolute coefficients of the linear model, largest first."""
+        raw = [abs(c) for c in self.linear.coefficients] if self.linear else self.trees.importances().tolist()
         if len(raw) != len(self.features):
             raise ValueError(f"{len(raw)} importances for {len(self.features)} features")
         return dict(sorted(zip(self.features, map(float, raw)), key=lambda pair: -pair[1]))
@@ -101,46 +95,67 @@ def importance_table(spark: SparkSession, fitted: FittedClassifier) -> DataFrame
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def _estimator(variant: Variant, weight_total: float):
-    p, columns = variant.params, {"featuresCol": "features", "labelCol": "label"}
-    if variant.balanced:
-        columns["weightCol"] = "weight"
-    if variant.model == "logistic_regression":
-        # The penalty is per unit of weight here, and per row set in the usual C notation.
-        return LogisticRegression(
-            elasticNetParam=0.0, regParam=1.0 / (p["C"] * weight_total), standardization=False,
-            maxIter=p["max_iter"], tol=1e-10, **columns,
-        )
-    if variant.model == "random_forest":
-        return RandomForestClassifier(
-            numTrees=p["n_estimators"], maxDepth=p["max_depth"], minInstancesPerNode=p["min_samples_leaf"],
-            featureSubsetStrategy=str(p["max_features"]), seed=variant.seed, **columns,
-        )
-    return GBTClassifier(
-        maxIter=p["n_estimators"], maxDepth=p["max_depth"], stepSize=p["learning_rate"],
-        subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]),
-        minInstancesPerNode=p["min_samples_leaf"], seed=variant.seed, **columns,
-    )
+@dataclass
+class FitTables:
+    """Training rows of many fits (a ``fit`` column beside features, id and label), written in the form each model reads.
+
+    ``cuts_from`` are the rows whose quantiles become the trees' cut points; the rows themselves if not given.
+    """
+
+    rows: DataFrame
+    features: list[str]
+    label: str = LABEL
+    key: str = ID
+    cuts_from: DataFrame | None = None
+    made: dict = field(default_factory=dict)
+
+    @property
+    def binned(self) -> tree_growing.BinnedRows:
+        if "binned" not in self.made:
+            cuts = tree_growing.cut_points(self.rows if self.cuts_from is None else self.cuts_from, self.features)
+            self.made["binned"] = tree_growing.bin_rows(self.rows, self.features, cuts, self.key, self.label)
+        return self.made["binned"]
 
+    @property
+    def counts(self) -> dict[int, tuple[int, int]]:
+        """Rows of each fit by class."""
+        return self.made["binned"].rows if "binned" in self.made else self.scaled.counts
+
+    @property
+    def scaled(self) -> newton.FitRows:
+        if "scaled" not in self.made:
+            self.made["scaled"] = newton.fit_rows(self.rows, self.features, self.label)
+        return self.made["scaled"]
+
+
+def _grown(tables: FitTables, model: str, wanted: list[tuple[int, Variant]]) -> list[TreeEnsemble]:
+    specs = [tree_growing.Spec(fit, model == "gradient_boosting", seed=v.seed, **v.params) for fit, v in wanted]
+    return tree_growing.grow_boosted(tables.binned, specs) if model == "gradient_boosting" else tree_growing.grow_forests(tables.binned, specs)
 
-def fit_classifier(rows: DataFrame, features: list[str], variant: Variant, label: str = LABEL) -> FittedClassifier:
+
+def fit_many(tables: FitTables, wanted: list[tuple[int, Variant]]) -> list[FittedClassifier]:
+    """One fitted classifier per (fit, variant), in that order; each model's fits share their jobs."""
+    found: dict[int, FittedClassifier] = {}
+    for model in MODEL_NAMES:
+        some = [(k, fit, v) for k, (fit, v) in enumerate(wanted) if v.model == model]
+        if not some:
+            continue
+        if model == "logistic_regression":
+            models = newton.fit_logistic(tables.scaled, [newton.LogisticSpec(fit, **v.params) for _, fit, v in some])
+            found |= {k: FittedClassifier(v, tables.features, linear=m) for (k, _, v), m in zip(some, models, strict=True)}
+        else:
+            models = _grown(tables, model, [(fit, v) for _, fit, v in some])
+            found |= {k: FittedClassifier(v, tables.features, trees=m) for (k, _, v), m in zip(some, models, strict=True)}
+    return [found[k] for k in range(len(wanted))]
+
+
+def fit_classifier(rows: DataFrame, features: list[str], variant: Variant, label: str = LABEL, key: str = ID) -> FittedClassifier:
     """Fit on rows that are already over-sampled if the variant asks for it."""
-    weight, total = class_weight_column(rows, label) if variant.balanced else (F.lit(1.0), 0.0)
-    labelled = rows.withColumns({"label": F.col(label).cast("double"), "weight": weight})
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
-    if variant.model != "logistic_regression":
-        ensure_checkpoints(rows.sparkSession)
-        model = _estimator(variant, total).fit(assembler.transform(labelled).select("features", "label", "weight"))
-        return FittedClassifier(variant, features, stages=PipelineModel(stages=[assembler, model]))
-    scaler = fit_scaler(rows, features)
-    scaled = labelled.withColumns(dict(zip(features, scaled_columns(features, scaler))))
-    model = _estimator(variant, total).fit(assembler.transform(scaled).select("features", "label", "weight"))
-    linear = LinearModel(features, scaler, list(map(float, model.coefficients)), float(model.intercept))
-    return FittedClassifier(variant, features, linear=linear)
+    return fit_many(FitTables(rows.withColumn("fit", F.lit(0)), features, label, key), [(0, variant)])[0]
 
 
 def save_classifier(spark: SparkSession, fitted: FittedClassifier, path: str) -> None:
-    """A linear model is a table with one row per feature; trees are a Spark ML directory. Both have a one-row header."""
+    """A linear model is a table with one row per feature; trees are a node table. Both have a one-row header."""
     variant = fitted.variant
     header = spark.createDataFrame(
         [(variant.model, variant.smote, {k: str(v) for k, v in variant.params.items()}, variant.seed, fitted.features,
@@ -157,7 +172,7 @@ def save_classifier(spark: SparkSession, fitted: FittedClassifier, path: str) ->
         )
         table.coalesce(1).write.mode("overwrite").parquet(f"{path}/linear")
     else:
-        fitted.stages.write().overwrite().save(f"{path}/stages")
+        save_ensemble(spark, fitted.trees, path)
 
 
 def _param(text: str):
@@ -174,7 +189,7 @@ def load_classifier(spark: SparkSession, path: str) -> FittedClassifier:
     variant = Variant(head["model"], head["smote"], {k: _param(v) for k, v in head["params"].items()}, head["seed"])
     features = list(head["features"])
     if head["intercept"] is None:
-        return FittedClassifier(variant, features, stages=PipelineModel.load(f"{path}/stages"))
+        return FittedClassifier(variant, features, trees=load_ensemble(spark, path))
     rows = sorted(spark.read.parquet(f"{path}/linear").collect(), key=lambda row: row["position"])
     scaler = ScalerState([r["mean"] for r in rows], [r["scale"] for r in rows])
     linear = LinearModel(

@@ -5,43 +5,27 @@ A leaf adds ``value * prod_j g_j`` to the prediction, where ``g_j`` is 1 or 0 fo
 Shapley average over the orders in which features become known is the integral over t in [0, 1] of the product with
 ``g_j = z_j (1 - t) + o_j t``; a Gauss-Legendre rule with half as many points as features gives it exactly.
 
-The node table of the fitted model is bounded by its own parameters (trees times 2^depth), not by the data; it is sent
-to the tasks; rows are scored where they are, in Arrow batches.
+The ensemble is a driver object from its fit on; its size follows its parameters (trees and depth), not the data. It is
+sent to the tasks, and rows are explained where they are, in Arrow batches.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.classifiers import FittedClassifier
-from ebbtide.session import shared_dir
+from ebbtide.operators.tree_models import TreeEnsemble
 
 ROWS_AT_ONCE = 64
 CELLS_AT_ONCE = 1 << 20
 
 
-def node_table(spark: SparkSession, saved: str) -> DataFrame:
-    """Nodes of a saved tree ensemble: tree, id, children, split, training weight, tree weight and leaf value.
-
-    Boosting predicts half the log-odds, forests the class-1 share of a leaf averaged over the trees.
-    """
-    nodes = spark.read.parquet(f"{saved}/data").select("treeID", "nodeData.*")
-    weights = spark.read.parquet(f"{saved}/treesMetadata").toDF("treeID", "about", "tree_weight").drop("about")
-    return nodes.join(F.broadcast(weights), "treeID").select(
-        "treeID", "id", "leftChild", "rightChild",
-        F.col("split.featureIndex").alias("feature"),
-        F.try_element_at("split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
-        "prediction", "impurityStats", "tree_weight",
-    )
-
-
 @dataclass(frozen=True)
 class Ensemble:
     """``groups`` holds, per number of path features, arrays over leaves: feature, low, high, share, leaf value.
@@ -54,48 +38,33 @@ class Ensemble:
     groups: list[tuple]
 
 
-def _paths(tree: dict, node: int, path: dict, value_of, cover_of):
-    row = tree[node]
-    if row["leftChild"] < 0:
-        yield path, value_of(row), cover_of(row)
+def _paths(trees: TreeEnsemble, node: int, path: dict):
+    """(features on the way with their interval and share of cover, leaf) of every leaf below a node."""
+    f = int(trees.feature[node])
+    if f < 0:
+        yield path, node
         return
-    f, cut = row["feature"], row["threshold"]
+    cut, left = trees.threshold[node], int(trees.left[node])
     low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-    for child, bounds in (("leftChild", (low, min(high, cut))), ("rightChild", (max(low, cut), high))):
-        part = cover_of(tree[row[child]]) / cover_of(row)
-        yield from _paths(tree, row[child], {**path, f: (*bounds, share * part)}, value_of, cover_of)
-
-
-def read_ensemble(spark: SparkSession, saved: str, width: int, boosting: bool) -> Ensemble:
-    nodes = node_table(spark, saved)
-    trees = defaultdict(dict)
-    for row in nodes.collect():
-        trees[row["treeID"]][row["id"]] = row
-    if boosting:
-        value_of, cover_of = (lambda r: 2.0 * r["tree_weight"] * r["prediction"]), (lambda r: r["impurityStats"][0])
-    else:
-        value_of = lambda r: r["impurityStats"][1] / sum(r["impurityStats"]) / len(trees)
-        cover_of = lambda r: sum(r["impurityStats"])
-    base, grouped = 0.0, defaultdict(list)
-    for tree in trees.values():
-        whole = cover_of(tree[0])
-        for path, value, cover in _paths(tree, 0, {}, value_of, cover_of):
-            base += value * cover / whole
+    for child, bounds in ((left, (low, min(high, cut))), (left + 1, (max(low, cut), high))):
+        yield from _paths(trees, child, {**path, f: (*bounds, share * trees.cover[child] / trees.cover[node])})
+
+
+def leaves(trees: TreeEnsemble) -> Ensemble:
+    """The leaves of all trees with their paths; a forest's leaf counts for one tree of them all."""
+    value = trees.value if trees.boosting else trees.value / len(trees.roots)
+    base, grouped = trees.base, defaultdict(list)
+    for root in trees.roots.tolist():
+        for path, leaf in _paths(trees, root, {}):
+            base += value[leaf] * trees.cover[leaf] / trees.cover[root]
             if path:
-                grouped[len(path)].append((path, value))
+                grouped[len(path)].append((path, value[leaf]))
     groups = []
-    for m, leaves in sorted(grouped.items()):
-        items = [list(path.items()) for path, _ in leaves]
-        groups.append(
-            (
-                np.array([[f for f, _ in item] for item in items]),
-                np.array([[b[0] for _, b in item] for item in items]),
-                np.array([[b[1] for _, b in item] for item in items]),
-                np.array([[b[2] for _, b in item] for item in items]),
-                np.array([value for _, value in leaves]),
-            )
-        )
-    return Ensemble(base, width, groups)
+    for _, found in sorted(grouped.items()):
+        items = [list(path.items()) for path, _ in found]
+        columns = [np.array([[b[k] for _, b in item] for item in items]) for k in range(3)]
+        groups.append((np.array([[f for f, _ in item] for item in items]), *columns, np.array([v for _, v in found])))
+    return Ensemble(base, trees.width, groups)
 
 
 def contributions(groups: list[tuple], width: int, x: np.ndarray) -> np.ndarray:
@@ -121,20 +90,13 @@ def contributions(groups: list[tuple], width: int, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def ensemble_of(spark: SparkSession, fitted: FittedClassifier) -> Ensemble:
-    saved = f"{shared_dir(spark)}/tree-nodes-{uuid.uuid4().hex}"
-    fitted.stages.stages[-1].write().save(saved)
-    return read_ensemble(spark, saved, len(fitted.features), fitted.variant.model == "gradient_boosting")
-
-
 def with_tree_contributions(df: DataFrame, fitted: FittedClassifier, output: str = "contributions") -> DataFrame:
     """Adds an array with one contribution per feature; they sum to the margin minus the base value.
 
-    Only the features reach Python. The ensemble, a driver object already, is sent to the tasks; its size follows its
-    parameters (trees and depth), not the data.
+    Only the features reach Python.
     """
     features = fitted.features
-    held = df.sparkSession.sparkContext.broadcast(ensemble_of(df.sparkSession, fitted).groups)
+    held = df.sparkSession.sparkContext.broadcast(leaves(fitted.trees).groups)
 
     @F.pandas_udf("array<double>")
     def explain(*columns: pd.Series) -> pd.Series:
@@ -144,5 +106,6 @@ def with_tree_contributions(df: DataFrame, fitted: FittedClassifier, output: str
     return df.withColumn(output, explain(*[F.col(f"`{name}`").cast("double") for name in features]))
 
 
-def base_value(spark: SparkSession, fitted: FittedClassifier) -> float:
-    return ensemble_of(spark, fitted).base
+def base_value(fitted: FittedClassifier) -> float:
+    """What the ensemble predicts when no feature is known."""
+    return leaves(fitted.trees).base

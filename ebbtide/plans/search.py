@@ -1,21 +1,19 @@
-"""Hyper-parameter search: seeded random candidates, ranked by mean cross-validated ROC-AUC, best one refitted."""
+"""Hyper-parameter search: adaptive trials with pruning, ranked by mean cross-validated ROC-AUC, best one refitted."""
 
 from __future__ import annotations
 
-import math
-import random
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbtide.operators.classifiers import FittedClassifier, Variant, build_variant, fit_classifier, model_name
-from ebbtide.plans.training import TrainingSets, cross_validate, metrics_on, scorer_of
+from ebbtide.operators.classifiers import FittedClassifier, Variant, build_variant, fit_many, model_name
+from ebbtide.plans import study
+from ebbtide.plans.training import TrainingSets, cross_validate_all, held_out_scores, metrics_of, scorer_of
 from ebbtide.sources.registry import TUNED_SCHEMA, write_tuned_metadata
 
-# Ranges of the search, for the parameters that exist in Spark ML.
+# Ranges of the search.
 # (kind, low, high, step) or ("choice", values)
 SEARCH_SPACES = {
     "logistic_regression": {
@@ -25,6 +23,7 @@ SEARCH_SPACES = {
     "random_forest": {
         "n_estimators": ("int", 100, 500, 50),
         "max_depth": ("int", 3, 20, 1),
+        "min_samples_split": ("int", 2, 20, 1),
         "min_samples_leaf": ("int", 1, 10, 1),
         "max_features": ("choice", ("sqrt", "log2", 0.3, 0.5)),
     },
@@ -34,35 +33,19 @@ SEARCH_SPACES = {
         "learning_rate": ("log", 0.01, 0.3),
         "subsample": ("real", 0.6, 1.0),
         "colsample": ("real", 0.6, 1.0),
-        "min_samples_leaf": ("int", 1, 10, 1),
+        "gamma": ("real", 0.0, 1.0),
+        "reg_alpha": ("log", 1e-4, 10.0),
+        "reg_lambda": ("log", 1e-4, 10.0),
+        "min_child_weight": ("int", 1, 10, 1),
     },
 }
 
 
-def _draw(rng: random.Random, rule: tuple):
-    kind, *args = rule
-    if kind == "choice":
-        return rng.choice(args[0])
-    if kind == "int":
-        low, high, step = args
-        return rng.randrange(low, high + 1, step)
-    low, high = args
-    if kind == "log":
-        return math.exp(rng.uniform(math.log(low), math.log(high)))
-    return rng.uniform(low, high)
-
-
-def candidates(model: str, n: int, seed: int = 42, space: dict | None = None) -> list[dict]:
-    rng = random.Random(seed)
-    space = SEARCH_SPACES[model_name(model)] if space is None else space
-    return [{name: _draw(rng, rule) for name, rule in space.items()} for _ in range(n)]
-
-
 @dataclass(frozen=True)
 class SearchResult:
     variant: Variant
     fitted: FittedClassifier
-    trials: list[tuple[dict, float, float]]
+    trials: list[study.Trial]
     best_cv: tuple[float, float]
     baseline_cv: float
     baseline_test_auc: float
@@ -82,42 +65,40 @@ def optimise(
     timeout_seconds: float | None = None,
     space: dict | None = None,
     baseline: dict | None = None,
-    parallelism: int = 2,
+    batch: int = 5,
+    log_path: str | None = None,
+    pruner: study.MedianPruner = study.MedianPruner(),
 ) -> SearchResult:
-    """Try ``n_trials`` candidates (fewer if the time limit passes), refit the best, compare it with the defaults.
+    """Search until ``n_trials`` are done or the time limit passes, refit the best, compare it with the defaults.
 
-    Candidates run in a small pool of driver threads so that their Spark jobs overlap.
+    The trials of a batch go through a fold together, and those that fall behind do not see the next one. With a
+    ``log_path`` the trials there count, and new ones are appended: a stopped search goes on where it was.
     """
     default = build_variant(model, smote, seed, **(baseline or {}))
-    tries = [build_variant(model, smote, seed, **params) for params in candidates(model, n_trials, seed, space)]
-    if smote:
-        for fold in [None, *range(sets.folds)]:
-            sets.rows(True, fold)
-    baseline_cv = cross_validate(sets, default)[0]
+    space = SEARCH_SPACES[model_name(model)] if space is None else space
+    log = study.TrialLog(sets.train.sparkSession, log_path, space)
+    trials = study.Study(study.ParzenSampler(space, seed), pruner, sets.folds, batch, log)
     started = time.monotonic()
 
-    def attempt(variant: Variant):
-        if timeout_seconds is not None and time.monotonic() - started > timeout_seconds:
-            return None
-        return cross_validate(sets, variant)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(attempt, tries))
-    done = [(variant, score) for variant, score in zip(tries, scores) if score is not None]
-    if not done:
-        raise TimeoutError("the time limit passed before the first candidate")
-    best, best_cv = max(done, key=lambda pair: pair[1][0])
-    fitted = fit_classifier(sets.rows(smote), sets.features, best)
-    plain = fit_classifier(sets.rows(smote), sets.features, default)
-    return SearchResult(
-        best, fitted, [(variant.params, *score) for variant, score in done], best_cv, baseline_cv,
-        metrics_on(plain, sets.test)["roc_auc"], metrics_on(fitted, sets.test),
-    )
+    def score(fold: int, candidates: list[dict]) -> list[float]:
+        tries = [build_variant(model, smote, seed, **params) for params in candidates]
+        fitted = fit_many(sets.tables({smote}, [fold]), [(sets.fit_number(smote, fold), v) for v in tries])
+        found = held_out_scores(sets, {(str(k), fold): f for k, f in enumerate(fitted)})
+        by_run = {r["run"]: r["roc_auc"] for r in found.collect()}
+        return [by_run[str(k)] for k in range(len(tries))]
+
+    trials.run(n_trials, score, lambda: timeout_seconds is None or time.monotonic() - started <= timeout_seconds)
+    best = trials.best()
+    tuned = build_variant(model, smote, seed, **best.params)
+    baseline_cv = cross_validate_all(sets, {"default": default})["default"][0]
+    whole = sets.fit_number(smote)
+    fitted, plain = fit_many(sets.tables({smote}, [None]), [(whole, tuned), (whole, default)])
+    test, plain_test = metrics_of(sets, [fitted, plain])
+    return SearchResult(tuned, fitted, trials.trials, (best.mean, best.std), baseline_cv, plain_test["roc_auc"], test)
 
 
 def trials_frame(spark: SparkSession, result: SearchResult) -> DataFrame:
-    rows = [(i, {k: str(v) for k, v in params.items()}, mean, std) for i, (params, mean, std) in enumerate(result.trials)]
-    return spark.createDataFrame(rows, "trial int, params map<string,string>, cv_roc_auc double, cv_roc_auc_std double")
+    return study.trials_frame(spark, result.trials)
 
 
 def tuned_frame(spark: SparkSession, sets: TrainingSets, result: SearchResult) -> DataFrame:

@@ -1,13 +1,14 @@
 """Cross-validate, refit and compare the six variants.
 
-The folds are fixed by hash, so every variant and every search candidate sees the same ones. An over-sampled fold is
-built once, written to the shared folder, and used by all of them. The held-out predictions of all folds are scored by
-one grouped plan.
+The folds are fixed by hash, so every variant and every search candidate sees the same ones. All fits, those without a fold
+and the refits on all rows, with and without over-sampling, stand in one written table, and each model's fits go through it
+together. An over-sampled fold is built once. The held-out predictions of all variants and folds are scored by one grouped
+plan, those of the test rows by another.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from ebbtide.operators.classifiers import (
     MODEL_NAMES,
+    FitTables,
     FittedClassifier,
     Variant,
     build_variant,
-    fit_classifier,
+    fit_many,
     importance_table,
 )
 from ebbtide.operators.evaluate import all_metrics, fold_summary, ranking_metrics
@@ -38,13 +40,13 @@ FOLDS = 5
 
 @dataclass
 class TrainingSets:
-    """Encoded rows with a fold column, and the over-sampled versions made so far."""
+    """Encoded rows with a fold column, and the over-sampled versions and fit tables made so far."""
 
     matrices: Matrices
     folds: int = FOLDS
     seed: int = 42
-    parallelism: int = 4
     made: dict = field(default_factory=dict)
+    kept: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.train = cut_lineage(stratified_folds(cut_lineage(self.matrices.train), self.folds, self.seed))
@@ -64,6 +66,26 @@ class TrainingSets:
             self.made[without_fold] = cut_lineage(more.sortWithinPartitions(ID))
         return self.made[without_fold]
 
+    def fit_number(self, smote: bool, without_fold: int | None = None) -> int:
+        """The number of a set of training rows among all fits: folds first, then all rows; over-sampled ones after that."""
+        return (self.folds if without_fold is None else without_fold) + (self.folds + 1 if smote else 0)
+
+    def tables(self, smote: set[bool], left_out: Iterable[int | None]) -> FitTables:
+        """The rows of the asked fits, each with its number, and the tables made of them; kept for the next model."""
+        asked = (frozenset(smote), frozenset(left_out))
+        if asked not in self.kept:
+            parts = []
+            if False in smote:
+                numbers = F.array(*[F.lit(self.fit_number(False, fold)) for fold in asked[1]])
+                inside = F.filter(numbers, lambda k: F.col("fold") != k)
+                parts.append(self.train.withColumn("fit", F.explode(inside)))
+            if True in smote:
+                parts += [self.rows(True, fold).withColumn("fit", F.lit(self.fit_number(True, fold))) for fold in asked[1]]
+            columns = [F.col(f"`{name}`") for name in ("fit", ID, LABEL, *self.features)]
+            stacked = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+            self.kept[asked] = FitTables(stacked, self.features, cuts_from=self.train)
+        return self.kept[asked]
+
     def held_out(self, fold: int) -> DataFrame:
         return self.train.filter(F.col("fold") == fold)
 
@@ -73,23 +95,29 @@ def prepare(df: DataFrame, test_size: float = 0.2, folds: int = FOLDS, seed: int
     return TrainingSets(model_matrices(cut_lineage(df), test_size, seed), folds, seed)
 
 
-def cross_validate(sets: TrainingSets, variant: Variant) -> tuple[float, float]:
-    """Mean and population standard deviation of the held-out ROC-AUC; the folds' jobs overlap."""
+def held_out_scores(sets: TrainingSets, fitted: dict[tuple[str, int], FittedClassifier]) -> DataFrame:
+    """run, fold, roc_auc on the held-out rows of each fold, for fitted classifiers by (run, fold)."""
+    parts = [
+        f.transform(sets.held_out(fold)).select(F.lit(run).alias("run"), "fold", "churn_probability", LABEL)
+        for (run, fold), f in fitted.items()
+    ]
+    return ranking_metrics(reduce(DataFrame.unionByName, parts), "churn_probability", by=["run", "fold"])
 
-    def predict(fold: int) -> DataFrame:
-        fitted = fit_classifier(sets.rows(variant.smote, fold), sets.features, variant)
-        return fitted.transform(sets.held_out(fold)).select("fold", "churn_probability", LABEL)
 
-    with ThreadPoolExecutor(sets.parallelism) as pool:
-        predictions = list(pool.map(predict, range(sets.folds)))
-    together = reduce(DataFrame.unionByName, predictions)
-    row = fold_summary(ranking_metrics(together, "churn_probability", by=["fold"])).first()
-    return row["cv_mean"], row["cv_std"]
+def cross_validate_all(sets: TrainingSets, variants: dict[str, Variant]) -> dict[str, tuple[float, float]]:
+    """Mean and population standard deviation of the held-out ROC-AUC of every variant, by its name."""
+    wanted = [(run, fold) for run in variants for fold in range(sets.folds)]
+    tables = sets.tables({v.smote for v in variants.values()}, range(sets.folds))
+    fitted = fit_many(tables, [(sets.fit_number(variants[run].smote, fold), variants[run]) for run, fold in wanted])
+    scores = held_out_scores(sets, dict(zip(wanted, fitted, strict=True)))
+    return {r["run"]: (r["cv_mean"], r["cv_std"]) for r in fold_summary(scores, by=["run"]).collect()}
 
 
-def metrics_on(fitted: FittedClassifier, df: DataFrame) -> dict:
-    scored = fitted.transform(df).select("churn_probability", LABEL)
-    return all_metrics(scored, "churn_probability").first().asDict()
+def metrics_of(sets: TrainingSets, fitted: list[FittedClassifier]) -> list[dict]:
+    """Test metrics of every classifier, from one grouped plan."""
+    parts = [f.transform(sets.test).select(F.lit(k).alias("run"), "churn_probability", LABEL) for k, f in enumerate(fitted)]
+    rows = all_metrics(reduce(DataFrame.unionByName, parts), "churn_probability", by=["run"]).collect()
+    return [r.asDict() for r in sorted(rows, key=lambda r: r["run"])]
 
 
 @dataclass(frozen=True)
@@ -100,6 +128,8 @@ class Run:
     cv_roc_auc: float | None
     cv_roc_auc_std: float | None
     test: dict
+    fold_scores: tuple[float | None, ...] = ()
+    fit_rows: tuple[int, int] = (0, 0)
 
     def as_row(self) -> tuple:
         rounded = [None if x is None else round(x, 4) for x in (self.cv_roc_auc, self.cv_roc_auc_std)]
@@ -110,12 +140,6 @@ class Run:
         )
 
 
-def train_one(sets: TrainingSets, variant: Variant, order: int = 0, validate: bool = True) -> Run:
-    mean, std = cross_validate(sets, variant) if validate else (None, None)
-    fitted = fit_classifier(sets.rows(variant.smote), sets.features, variant)
-    return Run(order, variant, fitted, mean, std, metrics_on(fitted, sets.test))
-
-
 def six_variants(seed: int = 42, overrides: dict | None = None) -> list[Variant]:
     overrides = overrides or {}
     return [
@@ -124,8 +148,26 @@ def six_variants(seed: int = 42, overrides: dict | None = None) -> list[Variant]
 
 
 def train_all(sets: TrainingSets, variants: list[Variant] | None = None, validate: bool = True) -> list[Run]:
+    """Cross-validate, refit and test all variants; every fit of a model, folds and refits, shares its jobs."""
     variants = six_variants(sets.seed) if variants is None else variants
-    return [train_one(sets, variant, i, validate) for i, variant in enumerate(variants)]
+    folds = [*(range(sets.folds) if validate else ()), None]
+    wanted = [(k, fold) for k in range(len(variants)) for fold in folds]
+    tables = sets.tables({v.smote for v in variants}, folds)
+    fitted = dict(zip(wanted, fit_many(tables, [(sets.fit_number(variants[k].smote, fold), variants[k]) for k, fold in wanted]), strict=True))
+    summary, by_fold = {}, {}
+    if validate:
+        scores = cut_lineage(held_out_scores(sets, {(str(k), fold): f for (k, fold), f in fitted.items() if fold is not None}))
+        summary = {r["run"]: (r["cv_mean"], r["cv_std"]) for r in fold_summary(scores, by=["run"]).collect()}
+        by_fold = {(r["run"], r["fold"]): r["roc_auc"] for r in scores.collect()}
+    refitted = [fitted[k, None] for k in range(len(variants))]
+    tests = metrics_of(sets, refitted)
+    return [
+        Run(
+            k, v, refitted[k], *summary.get(str(k), (None, None)), tests[k],
+            tuple(by_fold.get((str(k), fold)) for fold in folds if fold is not None), tables.counts[sets.fit_number(v.smote)],
+        )
+        for k, v in enumerate(variants)
+    ]
 
 
 def best_of(runs: list[Run]) -> Run:

@@ -52,7 +52,7 @@ def test_logistic_regression_minimises_the_stated_objective(sets):
     scale = x.std(axis=0)
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     beta = newton((x - x.mean(axis=0)) / np.where(scale > 0, scale, 1), y, w)
-    assert np.allclose([fitted.linear.intercept, *fitted.linear.coefficients], beta, atol=1e-5)
+    assert np.allclose([fitted.linear.intercept, *fitted.linear.coefficients], beta, atol=1e-8)
     assert fitted.variant.steps == ["scaler", "classifier"]
 
 
@@ -80,7 +80,7 @@ def test_class_weights_balance(spark):
 def test_tree_contributions_add_up(spark, sets, kind, request):
     fitted = request.getfixturevalue(kind)
     rows = TC.with_tree_contributions(fitted.transform(sets.test), fitted).select("churn_probability", "contributions").collect()
-    total = np.array([sum(r["contributions"]) for r in rows]) + TC.base_value(spark, fitted)
+    total = np.array([sum(r["contributions"]) for r in rows]) + TC.base_value(fitted)
     p = np.array([r["churn_probability"] for r in rows])
     assert np.allclose(1 / (1 + np.exp(-total)) if kind == "boosted" else total, p, atol=1e-9)
 
@@ -111,7 +111,7 @@ def shapley_by_subsets(ensemble, x):
 def test_tree_contributions_follow_the_definition(spark, sets):
     variant = C.build_variant("random_forest", False, n_estimators=2, max_depth=3)
     fitted = C.fit_classifier(sets.train, sets.features, variant)
-    ensemble = TC.ensemble_of(spark, fitted)
+    ensemble = TC.leaves(fitted.trees)
     x = np.array(sets.test.select(*[f"`{f}`" for f in sets.features]).limit(3).collect(), dtype=float)
     got = TC.contributions(ensemble.groups, ensemble.width, x)
     for i, row in enumerate(x):
@@ -126,7 +126,7 @@ def test_variants(spark):
     with pytest.raises(ValueError, match="unknown model"):
         C.build_variant("svm", False)
     with pytest.raises(ValueError, match="no parameter"):
-        C.build_variant("random_forest", False, gamma=1)
+        C.build_variant("random_forest", False, learning_rate=1)
 
 
 def test_folds_are_over_sampled_on_their_own_rows(sets):
@@ -196,7 +196,8 @@ def test_reads_a_pretty_printed_document(spark, tmp_path):
 def test_search(spark, sets, tmp_path):
     space = {"C": ("log", 1e-3, 100.0), "max_iter": ("int", 20, 40, 10)}
     result = search.optimise(sets, "logistic_regression", n_trials=2, smote=True, space=space)
-    assert len(result.trials) == 2 and result.best_cv[0] == max(mean for _, mean, _ in result.trials)
+    assert len(result.trials) == 2 and result.best_cv[0] == max(t.mean for t in result.trials)
+    assert search.trials_frame(spark, result).where("state = 'complete' AND size(fold_scores) = 2").count() == 2
     assert result.improvement == round(result.test["roc_auc"] - result.baseline_test_auc, 4)
     search.save_search(spark, sets, result, str(tmp_path / "s"))
     row = registry.read_tuned_metadata(spark, str(tmp_path / "s/optimized_metadata")).first()
@@ -207,16 +208,6 @@ def test_search(spark, sets, tmp_path):
         search.optimise(sets, "logistic_regression", n_trials=1, smote=False, space=space, timeout_seconds=-1)
 
 
-def test_candidates_are_seeded_and_in_range():
-    for model, space in search.SEARCH_SPACES.items():
-        drawn = search.candidates(model, 20, 1)
-        assert drawn == search.candidates(model, 20, 1) != search.candidates(model, 20, 2)
-        for params in drawn:
-            C.build_variant(model, True, **params)
-            for name, (kind, *args) in space.items():
-                assert params[name] in args[0] if kind == "choice" else args[0] <= params[name] <= args[1]
-
-
 def test_scores_do_not_depend_on_the_batch(spark, sf_dir):
     raw = training_table(spark, sf_dir).drop("churn")
     scorer = fixed_model.scorer()
