@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.texts import LETTER_RUNS, sum_terms
+from ebbtide.llm.texts import LETTER_RUNS, SLICE_ROWS, sum_terms
+from ebbtide.session import cut_lineage
 
 UNDETERMINED = "und"
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
 LONGEST = 4
-#: Counts above this share a place in the histogram that finds the least count of a known term.
+#: Counts above this share a place with others within a ten-thousandth in the histogram that finds the least count of a known term.
 HIGHEST = 1_000_000
 STEP_BACK = math.log(0.4)
 #: Scores of words kept by a worker.
@@ -65,14 +66,15 @@ def _most_frequent(counts: DataFrame, term: str, most: int) -> dict[str, dict[st
     The least count comes from a histogram of the counts, so that no more than the kept terms reach the driver.
     """
     by_term = counts.groupBy(term).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    totals = counts.groupBy(term).agg(F.sum("n").alias("total")).groupBy(F.least("total", F.lit(HIGHEST)).alias("total")).count().collect()
+    place = F.least("total", F.lit(HIGHEST)) + F.floor(10_000 * F.log(F.greatest("total", F.lit(HIGHEST)) / HIGHEST)).cast("long")
+    places = counts.groupBy(term).agg(F.sum("n").alias("total")).groupBy(place.alias("place")).count().collect()
     least, kept = 1, 0
-    for total, terms in sorted(((r["total"], r["count"]) for r in totals), reverse=True):
+    for found, terms in sorted(((r["place"], r["count"]) for r in places), reverse=True):
         kept += terms
         if kept > most:
-            least = total + 1
+            least = found + 1
             break
-    return {row[term]: row["by_lang"] for row in by_term.where(F.col("total") >= least).select(term, "by_lang").collect()}
+    return {row[term]: row["by_lang"] for row in by_term.where(place >= least).select(term, "by_lang").collect()}
 
 
 class Model:
@@ -144,19 +146,14 @@ class Scorer:
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learn from the rows of `df` that have a text and a language."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    words = sum_terms(rows, _words, "lang string, word string").persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        grams = sum_terms(words.select("lang", "word"), _grams, "lang string, gram string").persist()
-        try:
-            by_size: dict = defaultdict(dict)
-            for r in grams.groupBy(F.length("gram").alias("size"), "lang").agg(F.sum("n").alias("n")).collect():
-                by_size[r["size"]][r["lang"]] = r["n"]
-            return Model(sorted(totals), _most_frequent(words, "word", max_words), totals, _most_frequent(grams, "gram", max_grams), by_size)
-        finally:
-            grams.unpersist()
-    finally:
-        words.unpersist()
+    # Written, so that the passes below survive lost executors and nothing stays in their memory.
+    words = cut_lineage(sum_terms(rows, _words, "lang string, word string"))
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    grams = cut_lineage(sum_terms(words.select("lang", "word"), _grams, "lang string, gram string"))
+    by_size: dict = defaultdict(dict)
+    for r in grams.groupBy(F.length("gram").alias("size"), "lang").agg(F.sum("n").alias("n")).collect():
+        by_size[r["size"]][r["lang"]] = r["n"]
+    return Model(sorted(totals), _most_frequent(words, "word", max_words), totals, _most_frequent(grams, "gram", max_grams), by_size)
 
 
 def identify(df: DataFrame, model: Model, text: Column | str = "text") -> Column:
@@ -167,7 +164,7 @@ def identify(df: DataFrame, model: Model, text: Column | str = "text") -> Column
     @F.arrow_udf("lang_pred string, score double")
     def scored(texts: pa.Array) -> pa.Array:
         scorer = made.get("scorer") or made.setdefault("scorer", Scorer(shared.value))
-        found = [scorer(t) for t in texts.to_pylist()]
+        found = [scorer(t) for start in range(0, len(texts), SLICE_ROWS) for t in texts[start : start + SLICE_ROWS].to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
     return scored(text)

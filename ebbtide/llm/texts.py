@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -42,10 +43,17 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[tuple]], schema: str) -
                     chunk, weight = [], 0
         if chunk:
             yield _batch(chunk, arrow, names)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give what a finished pass held back to the system: a worker goes on with other stages and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
@@ -129,6 +137,7 @@ def counted(batches: Iterator[pa.RecordBatch], terms: Callable[..., Iterator[tup
                 yield out()
     if store:
         yield out()
+    release()
 
 
 def sum_terms(df: DataFrame, terms: Callable[..., Iterator[tuple[tuple, int]]], keys: str) -> DataFrame:

@@ -59,6 +59,14 @@ def test_model_size_is_bounded(spark):
     assert "common" in model.words and len(model.words) <= 50 and len(model.grams) <= 20
 
 
+def test_limit_holds_for_counts_beyond_the_histogram(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "HIGHEST", 2)
+    rows = [(" ".join(["".join(chr(97 + (k * 7 + i) % 26) for i in range(4))] * (k + 1)), "x") for k in range(40)]
+    model = taught(spark, *rows, max_words=3, max_grams=3)
+    assert 1 <= len(model.words) <= 3 and len(model.grams) <= 3
+    assert set(model.words) <= {rows[k][0].split()[0] for k in (37, 38, 39)}
+
+
 def test_odd_rows_with_a_model(spark):
     docs = documents(spark)
     model = language_id.learn(docs)
