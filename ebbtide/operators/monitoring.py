@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.functions.risk import ALERT_HIGH_RISK_PCT, ALERT_MEAN_PROBABILITY_PCT
@@ -22,20 +22,25 @@ HISTORY_HEADINGS = {
 }
 
 
-def batch_log(scored: DataFrame, batch: str = "batch_id", time: datetime | None = None) -> DataFrame:
-    """Rows, mean probability, high-risk share and loss per batch; probabilities enter with 4 digits.
-
-    ``time`` is the time of the batch, the same for all of its rows; it becomes the column ``batch_time``.
-    """
+def batch_figures() -> list[Column]:
+    """The aggregates of a batch of scored rows."""
     probability = round_exact(F.col("churn_probability"), 4)
     share = F.try_divide(F.count_if(high_risk()).cast("double"), F.count("*").cast("double"))
-    stamp = [] if time is None else [F.lit(time).cast("timestamp").alias("batch_time")]
-    return scored.groupBy(batch, *stamp).agg(
+    return [
         F.count("*").alias("total"),
         round_even(F.avg(probability) * F.lit(100.0), 2).alias("avg_prob"),
         round_even(share * F.lit(100.0), 2).alias("high_risk_pct"),
         sum_of_cents("expected_revenue_loss").alias("total_loss"),
-    )
+    ]
+
+
+def batch_log(scored: DataFrame, batch: str = "batch_id", time: datetime | None = None) -> DataFrame:
+    """Rows, mean probability, high-risk share and loss per batch; probabilities enter with 4 digits.
+
+    ``time`` is the time of the batch, the same for all of its rows; it becomes the column ``batch_time``.
+    """
+    stamp = [] if time is None else [F.lit(time).cast("timestamp").alias("batch_time")]
+    return scored.groupBy(batch, *stamp).agg(*batch_figures())
 
 
 def with_alerts(log: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ebbtide.session import cut_lineage
 from ebbtide.sources.schema import (
     COLUMN_TYPES,
     ID,
@@ -25,6 +27,10 @@ from ebbtide.sources.schema import (
 )
 
 
+#: Files whose first line is read at the same time.
+OPEN_FILES = 16
+
+
 def normalise_headers(df: DataFrame) -> DataFrame:
     """Trim, lower-case, and turn runs of blanks into one underscore."""
     names = [re.sub(r"\s+", "_", name.strip().lower()) for name in df.columns]
@@ -121,12 +127,10 @@ def read_customers(
 
 
 def _by_header(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
-    """One frame of text columns per distinct header line of the files; one row per file reaches the driver."""
-    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"), "value")
-    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    """One frame of text columns per distinct header line of the files; one line per file reaches the driver."""
     files = defaultdict(list)
-    for row in first.collect():
-        files[row["header"].removesuffix("\r").removeprefix("\ufeff")].append(unquote(row["file_path"]))
+    for file, header in first_lines(spark, path).items():
+        files[header.removesuffix("\r").removeprefix("\ufeff")].append(unquote(file))
     if not files:
         raise SchemaError(f"no header found in {path}")
     frames = []
@@ -138,6 +142,29 @@ def _by_header(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
     return frames
 
 
+def first_lines(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
+    """The first line of every file under a path that is not empty; of a file its first buffer is read, not more.
+
+    The files are those Spark's own reader would take, opened through its file systems, packed ones included.
+    """
+    jvm, settings = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings)
+
+    def first(file: str) -> str | None:
+        where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = where.getFileSystem(settings).open(where)
+        try:
+            codec = codecs.getCodec(where)
+            text = jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8")
+            return jvm.java.io.BufferedReader(text).readLine()
+        finally:
+            stream.close()
+
+    files = spark.read.text(path).inputFiles()
+    with ThreadPoolExecutor(OPEN_FILES) as pool:
+        return {file: line for file, line in zip(files, pool.map(first, files), strict=True) if line is not None}
+
+
 def customers_from_records(spark: SparkSession, records: list[dict], with_label: bool = False) -> DataFrame:
     """A short list of records as a table; a key left out or set to None is an unset value."""
     schema = customer_schema(with_label)
@@ -159,22 +186,38 @@ def _marked(scan: DataFrame) -> DataFrame:
         raise SchemaError("rows can only be numbered in a plain file scan") from error
 
 
+def _before(counts: DataFrame, *keys: str) -> DataFrame:
+    """Rows before each file or block, in their order; the table has a row for each of them."""
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+
 def _numbered(marked: DataFrame, name: str) -> DataFrame:
     """Zero-based positions in the order of (file, block, place in the block).
 
-    One narrow pass counts the rows of each block; a running sum over that table, which has one row per block, is joined
-    back. Spark reads a block's rows in order and in one task, so the marks of a block are consecutive.
+    The files are read once and the marked rows written; the count of each block comes from that copy. Spark reads a
+    block's rows in order and in one task, so the marks of a block are consecutive.
     """
-    blocks = marked.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_mark").alias("_first"))
-    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    placed = marked.join(starts, ["_file", "_block"])
+    written = cut_lineage(marked)
+    blocks = written.groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_mark").alias("_first"))
+    starts = _before(blocks, "_file", "_block").drop("_rows")
+    placed = written.join(starts, ["_file", "_block"])
     return placed.withColumn(name, F.col("_before") + F.col("_mark") - F.col("_first")).drop("_file", "_block", "_mark", "_first", "_before")
 
 
 def with_row_numbers(df: DataFrame, name: str = "source_row_id") -> DataFrame:
-    """Zero-based position of each row of a file scan, in the order of file name and place; other inputs are refused."""
-    return _numbered(_marked(df), name)
+    """Zero-based position of each row of a file scan, in the order of file name and place; other inputs are refused.
+
+    Parquet knows the place of a row in its file, so the data are scanned once, and the rows of a file are counted from the
+    files' footers. Other formats go by blocks.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return _numbered(_marked(df), name)
+    counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_rows")).collect()
+    starts = _before(df.sparkSession.createDataFrame(counts, "_file string, _rows long"), "_file").drop("_rows")
+    return placed.join(starts, "_file").withColumn(name, F.col("_before") + F.col("_place")).drop("_file", "_place", "_before")
 
 
 def fill_ids(df: DataFrame, row_id: str = "source_row_id") -> DataFrame:

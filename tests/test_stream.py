@@ -71,3 +71,31 @@ def test_stream_reads_headers_and_malformed_cells_like_a_batch(spark, tmp_path):
     told = {r["customer_id"]: r["violations"] for r in spark.read.parquet(f"{out}/rejects").collect()}
     assert told == {r["customer_id"]: r["violations"] for r in rejects.collect()} and set(told) == {"K-2", "K-3"}
     assert {r["customer_id"] for r in scored.collect()} == {"K-1", "K-4"}
+
+
+def test_trend_on_the_stream_equals_the_batch_trend_after_a_restart(spark, sf_dir, tmp_path):
+    table, out, state = customers_dirty(spark, sf_dir), str(tmp_path / "trend"), str(tmp_path / "state")
+    logs = {name: str(tmp_path / name) for name in ("first", "second")}
+
+    def batch(name, number):
+        rows = table.filter(F.col("c_custkey") % 4 == number % 4).select(*NAMES)
+        stream.write_batch(fixed_model.scorer(), rows, number, logs[name])
+
+    def follow():
+        stream.start_trend(spark, logs, out, state, available_now=True).awaitTermination()
+
+    for number in (0, 1):
+        batch("first", number)
+    batch("second", 0)
+    follow()
+    batch("first", 1)  # run again after a failure: seen before
+    for number in (2, 3):
+        batch("first", number)
+    batch("second", 5)
+    follow()
+    follow()
+    for name, folder in logs.items():
+        log = stream.monitoring_log(spark, folder)
+        expected = monitoring.trend(log).join(log.select("batch_id", "alert", "probability_status"), "batch_id")
+        found = spark.read.parquet(out).where(F.col("scorer") == name).select(*expected.columns)
+        assert sorted(map(str, found.withColumn("batch_id", F.col("batch_id").cast("int")).collect())) == sorted(map(str, expected.collect()))

@@ -10,6 +10,7 @@ from checks import fixed_model
 from ebbtide.operators import checks
 from ebbtide.operators.encoding import impute
 from ebbtide.operators.gates import type_faults
+from tests.conftest import plan_of
 from ebbtide.sources import tables
 from ebbtide.sources.schema import SchemaError, ValueRuleError, customer_schema
 
@@ -184,3 +185,24 @@ def test_files_with_differing_headers_go_together_by_name(spark, tmp_path):
     (folder / "d.csv").write_text("customer_id,tenure\nN-1,4\n")
     with pytest.raises(SchemaError, match="missing"):
         tables.read_customers(spark, str(folder), with_label=False)
+
+
+def test_headers_come_from_the_first_buffer_of_each_file(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a b.csv").write_text("k,v\n" + "1,2\n" * 200_000)
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as file:
+        file.write("v,k\r\n2,1\n")
+    found = tables.first_lines(spark, str(tmp_path))
+    assert sorted((name.rsplit("/", 1)[1], line) for name, line in found.items()) == [("a%20b.csv", "k,v"), ("c.csv.gz", "v,k")]
+    started = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    tables.first_lines(spark, str(tmp_path))
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup()) == started  # no job: no task reads a file
+
+
+def test_numbered_rows_scan_their_files_once(spark, tmp_path):
+    spark.range(1000).repartition(5).write.parquet(str(tmp_path / "p"))
+    numbered = tables.with_row_numbers(spark.read.parquet(str(tmp_path / "p")))
+    assert plan_of(numbered).count("FileScan parquet") == 1
+    assert sorted(r["source_row_id"] for r in numbered.collect()) == list(range(1000))
