@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.llm.graph import components
-from ebbtide.llm.texts import WordKeys, map_rows, shingle_set
+from ebbtide.llm.texts import WordKeys, map_rows, shingle_set, small_batches
 from ebbtide.session import cut_lineage
 
 PERMUTATIONS = 80
@@ -240,6 +240,11 @@ def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text and any further columns)."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, similarity)
+
+
+def _near_duplicates(docs: DataFrame, words: int, similarity: int) -> DataFrame:
     signed = cut_lineage(signatures(docs, words))
     classes = cut_lineage(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")))
 

@@ -6,11 +6,12 @@ import gc
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of letters; digits and the underscore separate.
@@ -72,6 +73,21 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> Iterator[None]:
+    """Jobs run inside exchange smaller Arrow batches with Python: packed sets of whole texts are large rows, and both the
+    executor's direct memory and the workers hold a batch several times over. The session's settings are put back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 class WordKeys(dict):
     """64-bit key of each word given as bytes; holds at most KEPT_WORDS of them between texts."""
 
