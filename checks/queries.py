@@ -15,6 +15,7 @@ from ebbtide.functions.reasons import with_contribution_reasons
 from ebbtide.operators import checks as rules
 from ebbtide.operators import encoding, evaluate, gates, linear, monitoring, reports, selection, smote, weights
 from ebbtide.operators.classifiers import MODEL_NAMES, importance_table
+from ebbtide.operators.neighbour_descent import descended_neighbours
 from ebbtide.operators.neighbours import nearest_neighbours
 from ebbtide.operators.tree_contributions import base_value, with_tree_contributions
 from ebbtide.plans import features as feature_plan
@@ -139,6 +140,19 @@ def rejected_rows(spark, sf_dir):
     return rejects.select("source_row_id", "customer_id", risk.join_texts(F.col("violations")).alias("violations"))
 
 
+@query
+def strict_batch(spark, sf_dir):
+    """A batch that must be clean: rows that break a rule, and whether the batch was refused for them."""
+    dirty = customers_dirty(spark, sf_dir)
+    try:
+        fixed_model.scorer().score_strict(dirty)
+        refused = False
+    except rules.ValueRuleError:
+        refused = True
+    bad = F.count_if(F.size("violations") > 0).alias("bad_rows")
+    return rules.with_violations(dirty).agg(bad).withColumn("refused", F.lit(refused))
+
+
 @query
 def accepted_rows_scored(spark, sf_dir):
     scored, _ = fixed_model.scorer().score_lenient(customers_dirty(spark, sf_dir))
@@ -387,6 +401,17 @@ def churner_neighbours(spark, sf_dir):
     )
 
 
+@query
+def neighbour_descent_recall(spark, sf_dir):
+    """Share of the true five nearest churners that neighbour descent finds, over all churners."""
+    churners = cut_lineage(_matrix(spark, sf_dir).filter("churn = 1"))
+    rows = churners.select(F.col("customer_id").alias("id"), F.array(*[F.col(f"`{name}`") for name in fixed_model.FEATURES]).alias("vec"))
+    true, found = (f(rows).select("id", F.transform("near", lambda n: n["id"]).alias(name)) for f, name in ((nearest_neighbours, "true"), (descended_neighbours, "found")))
+    hits = F.size(F.array_intersect("true", "found"))
+    both = true.join(found, "id").agg(F.count("*").alias("churners"), (F.sum(hits) / F.sum(F.size("true")) >= 0.9).alias("recall_reached"))
+    return both
+
+
 @query
 def synthetic_churners(spark, sf_dir):
     made = smote.synthetic_rows(cut_lineage(_matrix(spark, sf_dir)), fixed_model.FEATURES)
@@ -747,7 +772,56 @@ def importances_add_up(spark, sf_dir):
     return importance_table(spark, _fitted(spark, sf_dir, "random_forest")).agg(F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
+@lru_cache(maxsize=2)
+def _search(spark, application: str, sf_dir) -> search.SearchResult:
+    return search.optimise(_sets(spark, sf_dir), "logistic_regression")
+
+
+def _searched(spark, sf_dir) -> search.SearchResult:
+    return _search(spark, spark.sparkContext.applicationId, sf_dir)
+
+
 @query
 def search_trials(spark, sf_dir):
     """Adaptive search over the logistic regression space on over-sampled folds: 50 trials, those that fall behind pruned."""
-    return search.trials_frame(spark, search.optimise(_sets(spark, sf_dir), "logistic_regression"))
+    return search.trials_frame(spark, _searched(spark, sf_dir))
+
+
+@query
+def tuned_metadata_round_trip(spark, sf_dir):
+    """The search's record, written and read: what was asked, and whether gain and best trial are what the trials say."""
+    sets, result, path = _sets(spark, sf_dir), _searched(spark, sf_dir), scratch(spark, "tuned")
+    registry.write_tuned_metadata(search.tuned_frame(spark, sets, result), path)
+    best = search.trials_frame(spark, result).where("state = 'complete'").agg(F.round(F.max("cv_roc_auc"), 4).alias("best"))
+    told = registry.read_tuned_metadata(spark, path).crossJoin(best)  # one row each
+    gain = F.round(F.col("test_roc_auc") - F.col("baseline_test_auc"), 4)
+    return told.select(
+        "model_name", "use_smote", "n_trials", "cv_folds", F.size("best_params").alias("parameters"),
+        F.abs(F.col("improvement") - gain).alias("gain_off"), F.round(F.abs(F.col("best_cv_roc_auc") - F.col("best")), 4).alias("best_off"),
+    )
+
+
+@query
+def whole_training_job(spark, sf_dir):
+    """From a CSV folder to a saved scorer, metadata and importances: what was written, and rows the saved scorer scores."""
+    data, out = scratch(spark, "training-csv"), scratch(spark, "training-out")
+    training_table(spark, sf_dir).write.option("header", True).csv(data)
+    variants = [v for v in training.six_variants() if v.model == "logistic_regression"]
+    training.run_training(spark, data, out, variants=variants)
+    metadata = registry.read_metadata(spark, f"{out}/model_metadata")
+    runs = registry.runs_from_metadata(metadata).agg(F.count("*").alias("runs"), F.count("cv_roc_auc").alias("validated"))
+    best = registry.best_model_record(metadata).select("n_features")
+    importances = registry.read_importances(spark, f"{out}/feature_importance").agg(F.count("*").alias("importances"))
+    scored = ChurnScorer.load(spark, f"{out}/best_model").score(_unlabelled(spark, sf_dir)).agg(F.count("churn_probability").alias("scored"))
+    return runs.crossJoin(best).crossJoin(importances).crossJoin(scored)  # one row each
+
+
+@query
+def contribution_reasons_by_model(spark, sf_dir):
+    """Rows told their reasons by the model's own contributions, for a linear and a boosted model."""
+    sets, rows, found = _sets(spark, sf_dir), _unlabelled(spark, sf_dir), []
+    for model in ("logistic_regression", "gradient_boosting"):
+        scorer = training.scorer_of(sets, _fitted(spark, sf_dir, model))
+        told = scorer.score(rows, reasons="contributions").where(F.size("top_reasons") > 0)
+        found.append(told.agg(F.count("*").alias("told")).withColumn("model_name", F.lit(model)))
+    return found[0].unionByName(found[1])

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ebbtide.operators.neighbour_descent import descended_neighbours, meetings
 from ebbtide.operators.neighbours import distinct_points, nearest_neighbours, partitioned_neighbours, squared_distances
 from ebbtide.operators.smote import oversample, synthetic_rows
 from tests.conftest import plan_of
@@ -78,9 +79,9 @@ def test_no_pairing_without_a_key(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def recall(spark, x, **sizes):
+def recall(spark, x, search=partitioned_neighbours, **sizes):
     ids = [f"p{i:05d}" for i in range(len(x))]
-    found = {r["id"]: [n["id"] for n in r["near"]] for r in partitioned_neighbours(frame(spark, ids, x), 5, **sizes).collect()}
+    found = {r["id"]: [n["id"] for n in r["near"]] for r in search(frame(spark, ids, x), 5, **sizes).collect()}
     assert set(found) == set(ids) and all(len(f) == 5 and i not in f for i, f in found.items())
     asked = range(0, len(x), 50)
     squared = squared_distances(x[::50], x)
@@ -106,6 +107,50 @@ def test_partitioned_search_with_copies_and_few_points(spark):
     assert {r["id"]: [n["id"] for n in r["near"]] for r in found} == {"a": ["b"], "b": ["a"]}
 
 
+def test_descent_finds_nine_in_ten(spark):
+    """The same two kinds of columns as above: at least 0.9 on both, with blocks far smaller than the table."""
+    rng = np.random.default_rng(8)
+    hanging = (rng.normal(size=(3000, 2)) @ rng.normal(size=(2, 5))) + 0.01 * rng.normal(size=(3000, 5))
+    assert recall(spark, hanging, descended_neighbours, block_rows=256) >= 0.9
+    assert recall(spark, rng.normal(size=(3000, 18)), descended_neighbours, block_rows=256) >= 0.9
+
+
+def test_descent_meets_a_bounded_number_of_points_at_any_size(spark):
+    """Distances of a round per point do not grow with the table, also with a point that everybody lists."""
+    rng, pool, most = np.random.default_rng(3), 6, []
+    for n in (400, 1600):
+        x = rng.normal(size=(n, 128))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x[0] = 0  # nearer to all than they are to each other
+        ids = [f"p{i:05d}" for i in range(n)]
+        points = distinct_points(frame(spark, ids, x), pool).withColumn("point", F.col("first_id"))
+        exact = nearest_neighbours(frame(spark, ids, x), pool).select(F.col("id").alias("point"), F.explode("near").alias("n"))
+        graph = exact.select("point", F.col("n.id").alias("other"), F.col("n.d2").alias("d2")).cache()
+        assert graph.groupBy("other").count().agg(F.max("count")).first()[0] > 0.6 * n
+        sizes = [r["n"] for r in meetings(graph, points, pool).select(F.size("met").alias("n")).collect()]
+        most.append((max(sizes), np.mean(np.square(sizes))))
+        assert len(sizes) == n and max(sizes) <= 2 * pool + 1
+    assert most[1][1] < 1.2 * most[0][1]
+
+
+def test_descent_with_copies_few_points_and_ties(spark):
+    x = np.random.default_rng(9).normal(size=(600, 4))
+    x[::3] = x[0]
+    assert recall(spark, x, descended_neighbours, block_rows=100) > 0.9
+    found = descended_neighbours(frame(spark, ["a", "b"], np.array([[0.0], [1.0]])), 5).collect()
+    assert {r["id"]: [n["id"] for n in r["near"]] for r in found} == {"a": ["b"], "b": ["a"]}
+    with pytest.raises(ValueError, match="no rows"):
+        descended_neighbours(frame(spark, ["a"], np.array([[0.0]])).limit(0))
+
+
+def test_descent_keeps_the_distances_and_order_of_the_exact_search(spark):
+    x = np.random.default_rng(12).normal(size=(500, 3))
+    ids = [f"p{i:05d}" for i in range(500)]
+    exact = {r["id"]: r["near"] for r in nearest_neighbours(frame(spark, ids, x), 4).collect()}
+    found = {r["id"]: r["near"] for r in descended_neighbours(frame(spark, ids, x), 4, rounds=5, block_rows=100).collect()}
+    assert sum(found[i] == exact[i] for i in ids) >= 480
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(5)
@@ -137,6 +182,7 @@ def test_oversampling_limits(spark, labelled):
     with pytest.raises(ValueError, match="two classes"):
         oversample(labelled.filter("churn = 0"), ["a", "b c"])
     assert oversample(labelled, ["a", "b c"], search=partitioned_neighbours).count() == 280
+    assert oversample(labelled, ["a", "b c"], search=descended_neighbours).count() == 280
     even = labelled.filter("churn = 1").unionByName(labelled.filter("churn = 0").limit(60))
     assert oversample(even, ["a", "b c"]).count() == 120
 

@@ -8,7 +8,7 @@ from checks.oracle import SQL
 from checks.queries import QUERIES
 from tests.conftest import plan_of
 
-NO_SQL = {"logistic_regression_runs", "tree_model_runs", "forest_importances", "tree_contribution_reasons", "search_trials"}
+NO_SQL = {"logistic_regression_runs", "tree_model_runs", "forest_importances", "tree_contribution_reasons", "search_trials", "six_variant_metrics"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
