@@ -15,16 +15,13 @@ from ebbtide.llm.queries import vocabulary_path
 from ebbtide.llm.texts import read_table
 from ebbtide.session import shared_dir
 
-#: A document whose language is less sure than this goes, as does one without a letter.
-LEAST_LANGUAGE_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language the word-first model can tell; their `lang` stays as it is."""
+    """Keep the documents in which the word-first model finds a language: all that hold a letter; their `lang` stays as it is."""
     model = language_id.learn(docs)
     found = language_id.identify(docs, model, "text")
     judged = docs.select(F.struct("*").alias("doc"), found.alias("found"))
-    return judged.where((F.col("found.lang_pred") != language_id.UNDETERMINED) & (F.col("found.score") >= LEAST_LANGUAGE_SCORE)).select("doc.*")
+    return judged.where(F.col("found.lang_pred") != language_id.UNDETERMINED).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
