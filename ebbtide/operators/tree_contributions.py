@@ -5,8 +5,10 @@ A leaf adds ``value * prod_j g_j`` to the prediction, where ``g_j`` is 1 or 0 fo
 Shapley average over the orders in which features become known is the integral over t in [0, 1] of the product with
 ``g_j = z_j (1 - t) + o_j t``; a Gauss-Legendre rule with half as many points as features gives it exactly.
 
-The ensemble is a driver object from its fit on; its size follows its parameters (trees and depth), not the data. It is
-sent to the tasks, and rows are explained where they are, in Arrow batches.
+The ensemble is a driver object from its fit on; its size follows its parameters (trees and depth), not the data. Its
+leaves are sent to the tasks in parts of a bounded number of cells, the contributions of a part are added to those of
+the parts before, and the rows are written in between, so that no task holds more than one part. Rows are explained where
+they are, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.operators.classifiers import FittedClassifier
 from ebbtide.operators.tree_models import TreeEnsemble
+from ebbtide.session import cut_lineage
 
 ROWS_AT_ONCE = 64
 CELLS_AT_ONCE = 1 << 20
+#: Cells (leaves times features on their paths) sent to the tasks at a time: 32 bytes each.
+CELLS_SENT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -90,20 +95,46 @@ def contributions(groups: list[tuple], width: int, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def parts_of(groups: list[tuple]) -> list[list[tuple]]:
+    """The leaves cut into parts of at most CELLS_SENT cells."""
+    parts, room = [[]], CELLS_SENT
+    for leaves_of_size in groups:
+        n, m = leaves_of_size[0].shape
+        start = 0
+        while start < n:
+            if room < m and parts[-1]:
+                parts.append([])
+                room = CELLS_SENT
+            end = min(n, start + max(1, room // m))
+            parts[-1].append(tuple(array[start:end] for array in leaves_of_size))
+            room -= (end - start) * m
+            start = end
+    return parts
+
+
 def with_tree_contributions(df: DataFrame, fitted: FittedClassifier, output: str = "contributions") -> DataFrame:
     """Adds an array with one contribution per feature; they sum to the margin minus the base value.
 
     Only the features reach Python.
     """
-    features = fitted.features
-    held = df.sparkSession.sparkContext.broadcast(leaves(fitted.trees).groups)
-
+    features, context = fitted.features, df.sparkSession.sparkContext
+    parts = parts_of(leaves(fitted.trees).groups)
+    for number, part in enumerate(parts):
+        made = _explained(context.broadcast(part), features)
+        if number:
+            made = F.zip_with(output, made, lambda a, b: a + b)
+        df = df.withColumn(output, made)
+        df = cut_lineage(df) if number + 1 < len(parts) else df
+    return df
+
+
+def _explained(held, features: list[str]) -> Column:
     @F.pandas_udf("array<double>")
     def explain(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         return pd.Series(list(contributions(held.value, len(features), x)))
 
-    return df.withColumn(output, explain(*[F.col(f"`{name}`").cast("double") for name in features]))
+    return explain(*[F.col(f"`{name}`").cast("double") for name in features])
 
 
 def base_value(fitted: FittedClassifier) -> float:

@@ -85,6 +85,17 @@ def test_tree_contributions_add_up(spark, sets, kind, request):
     assert np.allclose(1 / (1 + np.exp(-total)) if kind == "boosted" else total, p, atol=1e-9)
 
 
+def test_leaves_sent_in_parts_explain_alike(sets, forest, monkeypatch):
+    whole = {r["customer_id"]: r["contributions"] for r in TC.with_tree_contributions(sets.test, forest).collect()}
+    cells = sum(g[0].size for g in TC.leaves(forest.trees).groups)
+    monkeypatch.setattr(TC, "CELLS_SENT", cells // 3)
+    parts = TC.parts_of(TC.leaves(forest.trees).groups)
+    assert len(parts) in (3, 4, 5) and sum(g[0].size for p in parts for g in p) == cells
+    assert all(sum(g[0].size for g in p) <= cells // 3 for p in parts)
+    for row in TC.with_tree_contributions(sets.test, forest).collect():
+        assert np.allclose(row["contributions"], whole[row["customer_id"]], atol=1e-12)
+
+
 def shapley_by_subsets(ensemble, x):
     """The definition: average marginal effect over all subsets of features."""
     from itertools import combinations
