@@ -6,12 +6,31 @@ they meet the customer table. Money is summed as whole cents: the order of summa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions.hashing import unit_hash
-from ebbtide.functions.risk import rule_based_probability
 from ebbtide.functions.rounding import round_even
+from ebbtide.sources.schema import DEFAULT_LOGINS, DEFAULT_USAGE
+
+
+# The terms of the label's formula.
+def rule_based_probability(fill_logins: Column | float = DEFAULT_LOGINS, fill_usage: Column | float = DEFAULT_USAGE) -> Column:
+    """Churn probability from five linear terms and a clipped sigmoid, from which the label of the derived table is drawn.
+
+    The fills stand in for missing logins and usage: pass the medians of the table, or use the defaults.
+    """
+    logins = F.coalesce(F.col("number_of_logins"), F.lit(fill_logins))
+    usage = F.coalesce(F.col("usage_hours"), F.lit(fill_usage))
+    tenure_term = F.lit(2.0) - F.col("tenure") / F.lit(72.0) * F.lit(4.0)
+    charge_term = (F.col("monthly_charges") - F.lit(300.0)) / F.lit(900.0) * F.lit(2.5) - F.lit(1.0)
+    contract_term = F.when(F.col("contract_type") == "Month-to-Month", 1.5).when(
+        F.col("contract_type") == "One Year", 0.0
+    ).when(F.col("contract_type") == "Two Year", -1.5)
+    support_term = F.col("support_calls") * F.lit(0.25)
+    engagement_term = -(logins / F.lit(50.0) + usage / F.lit(200.0))
+    score = tenure_term + charge_term + contract_term + support_term + engagement_term - F.lit(2.2)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.least(F.greatest(score, F.lit(-20.0)), F.lit(20.0))))
 
 
 def _cents(name: str):

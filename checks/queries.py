@@ -23,7 +23,7 @@ from ebbtide.plans import search, training
 from ebbtide.plans.scoring import ChurnScorer
 from ebbtide.session import cut_lineage, shared_dir
 from ebbtide.sources import registry, sinks, tables
-from ebbtide.sources.derived import customers_churn, customers_dirty, training_table
+from checks.derived import customers_churn, customers_dirty, rule_based_probability, training_table
 from ebbtide.sources.schema import CATEGORIES
 from ebbtide.streaming import scoring_stream
 
@@ -342,7 +342,7 @@ def rule_based_scores(spark, sf_dir):
     """Model-free probability with the medians of the table as fills."""
     table = training_table(spark, sf_dir)
     fills = selection.exact_medians(table, ["number_of_logins", "usage_hours"])
-    probability = risk.rule_based_probability(fills["number_of_logins"], fills["usage_hours"])
+    probability = rule_based_probability(fills["number_of_logins"], fills["usage_hours"])
     return table.select("customer_id", F.round(probability, 6).alias("churn_probability"))
 
 

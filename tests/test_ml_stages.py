@@ -5,7 +5,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from ebbtide.plans import ml_stages
-from ebbtide.sources.derived import training_table
+from checks.derived import training_table
 from ebbtide.sources.schema import SchemaError
 
 SMALL = {"logistic_regression": {}, "random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 5, "max_depth": 3}}

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.derived import rule_based_probability
 from ebbtide.functions import features, reasons, risk
 from ebbtide.functions.rounding import fixed_text, round_even, round_exact
 from ebbtide.operators import encoding, monitoring, reports
@@ -147,7 +148,7 @@ def test_displays_and_run_ids(spark):
 
 def test_clipped_sigmoid(spark):
     rows = [{**QUIET, "tenure": 720, "support_calls": 0}, {**QUIET, "support_calls": 100, "contract_type": "Month-to-Month"}]
-    got = [r[0] for r in customers_from_records(spark, rows).select(risk.rule_based_probability()).collect()]
+    got = [r[0] for r in customers_from_records(spark, rows).select(rule_based_probability()).collect()]
     assert got[0] == pytest.approx(1 / (1 + 2.718281828459045**20)) and got[1] == pytest.approx(1 / (1 + 2.718281828459045**-20))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from checks import fixed_model
 from ebbtide.operators import monitoring
 from ebbtide.sources import tables
-from ebbtide.sources.derived import customers_dirty
+from checks.derived import customers_dirty
 from ebbtide.sources.schema import customer_schema
 from ebbtide.streaming import scoring_stream as stream
 

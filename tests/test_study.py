@@ -5,7 +5,7 @@ import pytest
 
 from ebbtide.operators.classifiers import build_variant
 from ebbtide.plans import search, study, training
-from ebbtide.sources.derived import training_table
+from checks.derived import training_table
 
 SPACE = {"x": ("real", -5.0, 5.0), "rate": ("log", 1e-3, 10.0), "n": ("int", 100, 500, 50), "kind": ("choice", ("p", "q", "r"))}
 

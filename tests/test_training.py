@@ -13,7 +13,7 @@ from ebbtide.operators.linear import fit_scaler
 from ebbtide.operators.weights import class_weight_table
 from ebbtide.plans import scoring, search, training
 from ebbtide.sources import registry, sinks
-from ebbtide.sources.derived import training_table
+from checks.derived import training_table
 from ebbtide.sources.tables import customers_from_records
 
 

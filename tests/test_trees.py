@@ -11,7 +11,7 @@ from ebbtide.operators import tree_growing as G
 from ebbtide.operators.classifiers import FitTables, build_variant, fit_many
 from ebbtide.operators.tree_models import load_ensemble, probability_column, save_ensemble
 from ebbtide.plans import training
-from ebbtide.sources.derived import training_table
+from checks.derived import training_table
 
 FEATURES = ["a b", "c", "d", "e"]
 
