@@ -86,5 +86,5 @@ def test_stages_keep_further_columns(spark, sf_dir):
 
 def test_registered_names():
     names = __spark_entry__.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
     assert near_dedup.BANDS * near_dedup.BAND == 2 * near_dedup.PERMUTATIONS
