@@ -163,6 +163,27 @@ def test_blocks_change_nothing(table, binned, monkeypatch):
     assert np.array_equal(a.feature, b.feature) and np.array_equal(a.threshold, b.threshold) and np.array_equal(a.value, b.value)
 
 
+def test_fits_of_one_block_grow_in_one_job_like_fits_of_many(table, binned, monkeypatch):
+    forests = [G.Spec(0, False, 4, 6, min_samples_leaf=3), G.Spec(2, False, 3, 4, seed=1, max_features=0.5)]
+    boosting = [G.Spec(1, True, 6, 4, learning_rate=0.3, subsample=0.7, colsample=0.6, gamma=0.4, reg_alpha=0.2), G.Spec(2, True, 3, 2)]
+
+    def by_jobs(*_):
+        raise AssertionError("a job per level")
+
+    with monkeypatch.context() as alone:
+        alone.setattr(G, "_by_jobs", by_jobs)
+        here = G.grow_forests(binned, forests) + G.grow_boosted(binned, boosting)
+    monkeypatch.setattr(G, "BLOCK_ROWS", 400)  # fits 0 and 1 stay one block, fit 2 does not
+    many = G.bin_rows(table, FEATURES, binned.cuts, "id", "churn")
+    mixed = G.grow_forests(many, forests) + G.grow_boosted(many, boosting)
+    monkeypatch.setattr(G, "BLOCK_ROWS", 50)
+    far = G.grow_forests(many, forests) + G.grow_boosted(many, boosting)
+    for a, b, c in zip(here, mixed, far, strict=True):
+        for other in (b, c):
+            assert np.array_equal(a.feature, other.feature) and np.array_equal(a.threshold, other.threshold) and np.array_equal(a.roots, other.roots)
+            assert np.allclose(a.value, other.value, atol=1e-12) and np.allclose(a.cover, other.cover) and np.allclose(a.gain, other.gain)
+
+
 def test_bags_are_poisson_and_differ_by_tree():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 40_000)
     some, other = G.bag_counts(keys, 1, 0), G.bag_counts(keys, 1, 1)
