@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 #: Pieces longer than this are encoded anew each time.
 KEPT_LENGTH = 48
+#: Bits of a queue entry that hold the place; the rank is above them.
+PLACE_BITS = 40
+PLACES = (1 << PLACE_BITS) - 1
 #: Pieces remembered by a worker before the store is emptied.
 KEPT_PIECES = 600_000
 
@@ -56,10 +59,13 @@ class Codec:
         self.symbols = [vocab[c] for c in characters]
         size = 1 + max([*vocab.values(), *self.specials.values()])
         self.base = size
-        self.merges: dict[int, tuple[int, int]] = {}  # by left * base + right: rank, merged symbol
+        self.merges: dict[int, int] = {}  # by left * base + right: rank, moved up to leave room for a place
+        self.merged: list[tuple[int, int]] = []  # by rank: the pair that merges, the symbol it makes
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left] * size + vocab[right]] = (rank, vocab[left + right])
+            pair = vocab[left] * size + vocab[right]
+            self.merges[pair] = rank << PLACE_BITS
+            self.merged.append((pair, vocab[left + right]))
         self.strings = [b""] * size
         for token, k in vocab.items():
             self.strings[k] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
@@ -69,32 +75,36 @@ class Codec:
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece."""
-        symbols = [self.symbols[b] for b in piece.encode("utf-8", "replace")]
-        n, base, merges = len(symbols), self.base, self.merges.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        symbols = [*map(self.symbols.__getitem__, piece.encode("utf-8", "replace"))]
+        n, base, merges, merged = len(symbols), self.base, self.merges.get, self.merged
         queue = []
         for at in range(n - 1):
-            pair = symbols[at] * base + symbols[at + 1]
-            if found := merges(pair):
-                queue.append((found[0], at, pair, found[1]))
+            found = merges(symbols[at] * base + symbols[at + 1])
+            if found is not None:
+                queue.append(found + at)
+        if not queue:
+            return symbols
         heapify(queue)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
-            _, at, pair, made = heappop(queue)
+            entry = heappop(queue)
+            at = entry & PLACES
             other = after[at]
+            pair, made = merged[entry >> PLACE_BITS]
             if other >= n or symbols[at] * base + symbols[other] != pair:
                 continue  # stale: one of the two has been merged away or into something else
             symbols[at], symbols[other] = made, -1
             follower = after[at] = after[other]
             if follower < n:
                 before[follower] = at
-                joined = made * base + symbols[follower]
-                if found := merges(joined):
-                    heappush(queue, (found[0], at, joined, found[1]))
+                found = merges(made * base + symbols[follower])
+                if found is not None:
+                    heappush(queue, found + at)
             leader = before[at]
             if leader >= 0:
-                joined = symbols[leader] * base + made
-                if found := merges(joined):
-                    heappush(queue, (found[0], leader, joined, found[1]))
+                found = merges(symbols[leader] * base + made)
+                if found is not None:
+                    heappush(queue, found + leader)
         return [s for s in symbols if s >= 0]
 
     def pieces(self, text: str) -> list[str]:
@@ -125,7 +135,7 @@ class Codec:
     def decode(self, ids: bytes | None) -> str:
         """The text of packed ids; bytes that are not UTF-8 become U+FFFD."""
         strings = self.strings
-        return b"".join([strings[k] for k in np.frombuffer(ids or b"", "<u4").tolist()]).decode("utf-8", "replace")
+        return b"".join(map(strings.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
