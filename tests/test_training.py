@@ -129,6 +129,25 @@ def test_tree_contributions_follow_the_definition(spark, sets):
         assert np.allclose(got[i], shapley_by_subsets(ensemble, row))
 
 
+def test_rows_look_up_what_leaves_would_be_integrated_to(sets, forest, monkeypatch):
+    """Trees of depth 4 go into tables whole; rows that are not finite, and leaves of many places, are integrated as before."""
+    columns = [f"`{f}`" for f in sets.features]
+    x = np.array(sets.train.select(*columns).collect(), dtype=float)
+    x[0, 0], x[1, 1], x[2, 2] = np.nan, -np.inf, np.inf
+    boosted = C.fit_classifier(sets.train, sets.features, C.build_variant("gradient_boosting", False, n_estimators=12, max_depth=4))
+    for trees, patterns in ((boosted.trees, TC.PATTERNS), (forest.trees, 8)):
+        monkeypatch.setattr(TC, "PATTERNS", patterns)
+        ensemble, sent = TC.leaves(trees), TC.tables_and_leaves(trees)
+        assert sum(len(g[0]) for part in sent[1:] for g in part) == sum(len(g[0]) for g in ensemble.groups)
+        assert sent[0] and all(t.values.shape[1] <= patterns for t in sent[0]) and bool(sent[2]) == (patterns == 8)
+        expected = TC.contributions(ensemble.groups, ensemble.width, x)
+        assert np.allclose(TC.explained(*sent, ensemble.width, x), expected, atol=1e-12)
+        if not sent[2]:
+            with monkeypatch.context() as patch:
+                patch.setattr(TC, "_integrated", None)  # no row of finite values is integrated
+                assert np.allclose(TC.explained(*sent, ensemble.width, x[3:]), expected[3:], atol=1e-12)
+
+
 def test_variants(spark):
     assert [v.run_id for v in training.six_variants()] == [
         f"{m}_{s}" for m in ("logistic_regression", "random_forest", "gradient_boosting") for s in ("no_smote", "smote")
