@@ -41,6 +41,27 @@ def test_block_max_search_is_exact():
         assert (np.diff(cosines) <= 1e-9).all() and without not in found.tolist()
 
 
+def test_texts_searched_together_find_what_brute_force_finds(monkeypatch):
+    """Frequent terms stand in the matrix, the others in lists; copies tie exactly, and rounding decides nothing."""
+    monkeypatch.setattr(toxicity, "DENSE", 5)
+    index, counts = made_index(n=700, terms=60, seed=3)
+    assert (index.frequent[0] >= 0).sum() == 5
+    r = random.Random(4)
+    queries = [{r.randrange(60): r.randrange(1, 4) for _ in range(r.randrange(0, 9))} for _ in range(90)] + counts[:60]
+    found = index.nearest_of(queries, 10, [-1] * 90 + list(range(60)))
+    for number, (query, (ids, cosines)) in enumerate(zip(queries, found, strict=True)):
+        assert ids.tolist() == brute(index, counts, query, 10, number - 90 if number >= 90 else -1)
+        alone = index.nearest(query, k=10, without=number - 90 if number >= 90 else -1)
+        assert alone[0].tolist() == ids.tolist() and alone[1].tolist() == cosines.tolist()
+    assert not {"frequent", "by_example", "packed"} & set(index.__getstate__())
+
+
+def test_terms_of_ascii_texts_are_those_of_the_pattern():
+    text = "".join(map(chr, range(128))) + " It's a_b c1d\x1fe\tF"
+    assert toxicity.terms_of(text) == toxicity.LETTER_RUNS.findall(text.lower())
+    assert toxicity.terms_of("Ünder ǅ x²y") == toxicity.LETTER_RUNS.findall("ünder ǆ x²y") and toxicity.terms_of(None) == []
+
+
 def test_blocks_are_skipped_when_they_cannot_win():
     index, _ = made_index(n=3000)
     first = {0: 1}
