@@ -24,7 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 #: Ids in a sequence, and sequences in a record batch.
 LENGTH, ROWS = 2048, 128
-#: Words remembered by a worker before the store is emptied; bytes of text encoded at a time.
-KEPT, SLICE_BYTES = 700_000, 1 << 22
+#: Words remembered by a worker before it forgets those seen in one slice only; bytes of text encoded at a time, a slice.
+KEPT, SLICE_BYTES = 700_000, 1 << 23
 
 #: White space followed by a space: there, words cannot be encoded one by one.
 _UNEVEN = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
@@ -65,8 +65,26 @@ class WordEncoder:
     def start(self) -> None:
         self.rows: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.seen = np.zeros(1024, np.int32)
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
+    def _forget(self) -> None:
+        """Keep the words seen in two slices or more since the last time, at most half of KEPT; they must be seen again."""
+        seen = self.seen[: len(self.rows)]
+        often = np.flatnonzero(seen >= 2)
+        often = np.sort(often[np.argsort(-seen[often], kind="stable")[: KEPT // 2]])
+        kept = np.zeros(len(seen), bool)
+        kept[often] = True
+        words, sizes = list(compress(self.rows, kept.tolist())), self.sizes[often]
+        ids = self._gather(self.starts[often], sizes)
+        self.start()
+        self._keep(words, sizes, ids)
+
+    def _gather(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of some words, one word after the other."""
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat((starts - ends + sizes).astype(np.int32), sizes) + np.arange(sizes.sum(), dtype=np.int32)]
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
@@ -88,6 +106,8 @@ class WordEncoder:
         self.flat = _room(self.flat, self.used)
         self.flat[used : self.used] = ids
         self.starts, self.sizes = _room(self.starts, first + len(words)), _room(self.sizes, first + len(words))
+        self.seen = _room(self.seen, first + len(words))
+        self.seen[first : first + len(words)] = 0
         self.sizes[first : first + len(words)] = sizes
         self.starts[first : first + len(words)] = used + np.cumsum(sizes) - sizes
         self.rows.update(zip(words, range(first, first + len(words)), strict=True))
@@ -103,20 +123,24 @@ class WordEncoder:
 
     def _encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         if len(self.rows) > KEPT:
-            self.start()
+            self._forget()
         plain = pc.fill_null(texts, "").cast(pa.large_string())
         uneven = pc.match_substring_regex(plain, _UNEVEN)
         words = pc.split_pattern(pc.if_else(uneven, "", plain), " ")
         offsets, coded = np.asarray(words.offsets) - words.offsets[0].as_py(), words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if unseen := [w for w in distinct if w not in self.rows]:
+        known = np.fromiter(map(self.rows.get, distinct, repeat(-1)), np.int32, len(distinct))
+        missing = np.flatnonzero(known < 0)
+        if unseen := [distinct[k] for k in missing.tolist()]:
             self._learn(unseen)
-        rows = np.fromiter(map(self.rows.__getitem__, distinct), np.int32, len(distinct))[np.asarray(coded.indices)]
+            known[missing] = np.fromiter(map(self.rows.__getitem__, unseen), np.int32, len(unseen))
+        self.seen[known] += 1
+        rows = known[np.asarray(coded.indices)]
         # A text's first word has no space before it and is asked for by itself.
         sizes = self.sizes[rows]
         sizes[offsets[:-1]] = 0
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat((self.starts[rows] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)]
+        ids = self._gather(self.starts[rows], sizes)
         firsts = self.tokenizer.encode_batch_fast(coded.dictionary.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist(), add_special_tokens=False)
         for k, whole in enumerate(uneven.to_pylist()):
             if whole:

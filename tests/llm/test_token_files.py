@@ -45,6 +45,17 @@ def test_slices_and_full_store_change_nothing(monkeypatch):
     assert [[*f, 2] for f in found] == [ids_of(t) for t in texts]
 
 
+def test_a_full_store_keeps_the_words_seen_again(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT", 8)
+    encoder, asked, learn = token_files.WordEncoder(vocabulary_path()), [], token_files.WordEncoder._learn
+    monkeypatch.setattr(token_files.WordEncoder, "_learn", lambda self, words: (asked.extend(words), learn(self, words))[1])
+    for k in range(12):
+        texts = [f"x again and new{k} other{k} it's", f"x more{k}\nlines"]
+        assert [[*f, 2] for f in encoder.encode(pa.array(texts))] == [ids_of(t) for t in texts]
+        assert len(encoder.rows) <= 16
+    assert asked.count("again") == asked.count("and") == asked.count("it's") == 1 and asked.count("new3") == 1
+
+
 def test_every_row_comes_back_in_order(spark):
     rows = token_files.read_back(spark, dataset(spark, documents(spark), length=16, rows=4)).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == sorted((r[0] for r in ROWS), key=lambda k: (k is not None, k))
