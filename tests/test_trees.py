@@ -184,6 +184,19 @@ def test_fits_of_one_block_grow_in_one_job_like_fits_of_many(table, binned, monk
             assert np.allclose(a.value, other.value, atol=1e-12) and np.allclose(a.cover, other.cover) and np.allclose(a.gain, other.gain)
 
 
+def test_both_classes_are_summed_in_one_pass(monkeypatch):
+    """Every row of a forest counts for one class, so a candidate takes one pass over the rows, and the sums stay those of two."""
+    r = np.random.default_rng(5)
+    rows, place = r.integers(0, 9, (400, 6)).astype(np.uint8), r.integers(0, 7, 400)
+    candidates = np.stack([np.sort(r.choice(6, 3, replace=False)) for _ in range(7)])
+    bag, label = r.integers(1, 4, 400), r.integers(0, 2, 400)
+    first, second = bag * (1 - label), bag * label
+    expected, passes, count = G._cell_sums(rows, place, candidates, 9, first, second, False), [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: (passes.append(1), count(*a, **k))[1])
+    found = G._cell_sums(rows, place, candidates, 9, first, second, True)
+    assert (found == expected).all() and found.sum() == 3 * bag.sum() and len(passes) == 3
+
+
 def test_bags_are_poisson_and_differ_by_tree():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 40_000)
     some, other = G.bag_counts(keys, 1, 0), G.bag_counts(keys, 1, 1)
