@@ -197,6 +197,41 @@ def test_both_classes_are_summed_in_one_pass(monkeypatch):
     assert (found == expected).all() and found.sum() == 3 * bag.sum() and len(passes) == 3
 
 
+def test_sums_of_picked_rows_and_of_rows_at_rest():
+    """Rows can be picked without copying them, and rows past the last node of a boosted tree count nowhere."""
+    r = np.random.default_rng(6)
+    rows, place = r.integers(0, 9, (400, 6)).astype(np.uint8), r.integers(0, 8, 400)
+    candidates = np.stack([np.sort(r.choice(6, 3, replace=False)) for _ in range(7)])
+    live, weight, label = np.flatnonzero(place < 7), r.integers(1, 4, 400).astype(float), r.integers(0, 2, 400)
+    expected = G._cell_sums(rows[live], place[live], candidates, 9, (weight * (1 - label))[live], (weight * label)[live], False)
+    picked = G._cell_sums(rows, place[live], candidates, 9, (weight * (1 - label))[live], (weight * label)[live], True, live * 6)
+    assert (picked == expected).all()
+    shared = np.tile(candidates[:1], (7, 1))  # as in boosting: rows may lie feature by feature
+    by_feature = G._cell_sums(np.asfortranarray(rows), place, shared, 9, weight * (1 - label), weight * label, False)
+    assert (by_feature == G._cell_sums(rows[live], place[live], shared, 9, (weight * (1 - label))[live], (weight * label)[live], False)).all()
+
+
+def test_models_fitted_beside_each_other_write_their_table_once(monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+    from time import sleep
+
+    from ebbtide.operators.classifiers import FitTables
+
+    made = []
+    monkeypatch.setattr(G, "cut_points", lambda *a: sleep(0.2))
+    monkeypatch.setattr(G, "bin_rows", lambda *a: made.append(1) or sleep(0.2))
+    tables = FitTables(None, ["a"])
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda _: tables.binned, range(2)))
+    assert made == [1]
+
+
+def test_nodes_stand_breadth_first_with_and_without_those_taken_back():
+    feature, left = np.array([2, 0, 1, -1, -1, -1, -1]), np.array([1, 3, 5, -1, -1, -1, -1])
+    assert G._breadth_first(feature, left).tolist() == [0, 1, 2, 3, 4, 5, 6]
+    assert G._breadth_first(np.array([2, -1, 1, -1, -1, -1, -1]), left).tolist() == [0, 1, 2, 5, 6]
+
+
 def test_bags_are_poisson_and_differ_by_tree():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 40_000)
     some, other = G.bag_counts(keys, 1, 0), G.bag_counts(keys, 1, 1)
