@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ HIGHEST = 1_000_000
 STEP_BACK = math.log(0.4)
 #: Scores of words kept by a worker.
 KEPT = 200_000
+#: N-grams of a word from which on it is summed by itself.
+LONG_RUN = 48
+#: Characters of texts scored together.
+CHARACTERS = 1 << 20
 
 
 def _words(texts: list, langs: list) -> Iterator[tuple[tuple, int]]:
@@ -105,9 +110,48 @@ class Model:
                     break
         return self.gram_logs[rows].sum(axis=0) / max(len(rows), 1)
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """`word` of many lower-cased words, one row each: the n-grams of all unknown ones are summed together."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        get, rows, sizes, unknown = self.grams.get, [], [], []
+        for k, word in enumerate(words):
+            known = self.words.get(word)
+            if known is not None:
+                out[k] = known
+                continue
+            bounded, before = f"^{word}$", len(rows)
+            for at in range(len(bounded) - 1):
+                found = get(bounded[at : at + 4])
+                if found is None and (found := get(bounded[at : at + 3])) is None and (found := get(bounded[at : at + 2])) is None:
+                    found = get(bounded[at])
+                if found is not None:
+                    rows.append(found)
+            if len(rows) > before:
+                unknown.append(k)
+                sizes.append(len(rows) - before)
+        if unknown:
+            count = np.array(sizes)
+            out[unknown] = _sums(self.gram_logs, np.array(rows), count) / count[:, None].astype(np.float32)
+        return out
+
+
+def _sums(logs: np.ndarray, rows: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each run, one after the other as for a single run: a run's sum does not depend on its neighbours."""
+    starts = np.cumsum(count) - count
+    order = np.argsort(-count, kind="stable")
+    long = int(np.searchsorted(-count[order], -LONG_RUN))
+    out = np.zeros((len(count), logs.shape[1]), logs.dtype)
+    for k in order[:long].tolist():
+        out[k] = logs[rows[starts[k] : starts[k] + count[k]]].sum(axis=0)
+    order = order[long:]
+    for step in range(int(count[order].max(initial=0))):
+        order = order[: np.searchsorted(-count[order], -step)]  # the runs that have so many rows
+        out[order] += logs[rows[starts[order] + step]]
+    return out
+
 
 class Scorer:
-    """Scores texts; remembers the scores of a bounded number of words."""
+    """Scores texts, many together; remembers the scores of a bounded number of words."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -115,32 +159,57 @@ class Scorer:
 
     def start(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.langs) + 1), np.float32)
-
-    def _add(self, word: str) -> int:
-        at = len(self.rows)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        # The last place tells whether the run holds a letter: runs may be made of other numerals only.
-        self.table[at, :-1] = self.model.word(word)
-        self.table[at, -1] = word.isalpha() or any(map(str.isalpha, word))
-        self.rows[word] = at
-        return at
+        self.table = np.zeros((1024, len(self.model.langs) + 1))
+
+    def _add(self, words: list[str]) -> None:
+        first, end = len(self.rows), len(self.rows) + len(words)
+        if end > len(self.table):
+            more = np.zeros((max(end - len(self.table), len(self.table) // 2), self.table.shape[1]))
+            self.table = np.concatenate([self.table, more])
+        # The last place tells whether the run holds a letter; runs may be made of other numerals only, which score nothing.
+        letters = np.array([w.isalpha() or any(map(str.isalpha, w)) for w in words], float)
+        self.table[first:end, :-1] = self.model.scores(words) * letters[:, None]
+        self.table[first:end, -1] = letters
+        self.rows.update(zip(words, range(first, end), strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = LETTER_RUNS.findall(text.lower()) if text and self.model.langs else []
+        langs, scores = self.all([text])
+        return langs[0], scores[0]
+
+    def all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        langs, scores, start, weight = [], [], 0, 0
+        for k, text in enumerate(texts):
+            weight += len(text or "")
+            if weight >= CHARACTERS or k + 1 == len(texts):
+                self._some(texts[start : k + 1], langs, scores)
+                start, weight = k + 1, 0
+        return langs, scores
+
+    def _some(self, texts: list[str | None], langs: list[str], scores: list[float]) -> None:
+        runs = [LETTER_RUNS.findall(text.lower()) if text and self.model.langs else [] for text in texts]
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        words = list(chain.from_iterable(runs))
         if len(self.rows) > KEPT:
             self.start()
-        get, add = self.rows.get, self._add
-        found = [at if (at := get(w)) is not None else add(w) for w in words]
-        scores = self.table[found]
-        scores = scores[scores[:, -1] > 0, :-1].astype(np.float64)
-        if not len(scores):
-            return UNDETERMINED, 0.0
-        total = scores.sum(axis=0)
-        best = int(total.argmax())
-        odds = np.exp((total - total[best]) / math.sqrt(len(scores)))
-        return self.model.langs[best], float(1.0 / odds.sum())
+        at = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(at < 0)):
+            unseen = [words[k] for k in missing.tolist()]
+            self._add(list(dict.fromkeys(unseen)))
+            at[missing] = np.fromiter(map(self.rows.__getitem__, unseen), np.int64, len(unseen))
+        sums = np.zeros((len(runs), self.table.shape[1]))
+        found, ends = self.table.take(at, axis=0), np.cumsum(sizes).tolist()
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            found[a:b].sum(axis=0, out=sums[k])
+        total, n = sums[:, :-1], sums[:, -1]
+        if not total.shape[1]:
+            langs += [UNDETERMINED] * len(runs)
+            scores += [0.0] * len(runs)
+            return
+        best = total.argmax(axis=1)
+        odds = np.exp((total - total[np.arange(len(runs)), best][:, None]) / np.sqrt(np.maximum(n, 1))[:, None])
+        langs += [self.model.langs[k] if letters else UNDETERMINED for k, letters in zip(best.tolist(), n.tolist(), strict=True)]
+        scores += np.where(n > 0, 1.0 / odds.sum(axis=1), 0.0).tolist()
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
@@ -164,7 +233,8 @@ def identify(df: DataFrame, model: Model, text: Column | str = "text") -> Column
     @F.arrow_udf("lang_pred string, score double")
     def scored(texts: pa.Array) -> pa.Array:
         scorer = made.get("scorer") or made.setdefault("scorer", Scorer(shared.value))
-        found = [scorer(t) for start in range(0, len(texts), SLICE_ROWS) for t in texts[start : start + SLICE_ROWS].to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
+        found = [scorer.all(texts[start : start + SLICE_ROWS].to_pylist()) for start in range(0, len(texts), SLICE_ROWS)]
+        columns = [list(chain.from_iterable(column)) for column in (zip(*found, strict=True) if found else ([], []))]
+        return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64())], ["lang_pred", "score"])
 
     return scored(text)

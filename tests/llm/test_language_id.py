@@ -81,3 +81,16 @@ def test_held_out_accuracy(spark, sf_dir):
     assert set(found) == set(truth)
     held = [i for i, r in found.items() if r["held_out"] and truth[i]]
     assert sum(found[i]["lang_pred"] == truth[i] for i in held) >= 0.97 * len(held)
+
+
+def test_many_texts_score_as_one_by_one(spark, monkeypatch):
+    """Texts scored together, in parts and with a small store get what each gets alone, and unknown words their own n-grams."""
+    model = taught(spark, ("strasse gasse masse", "de"), ("rue vue que", "fr"))
+    texts = ["klasse avenue", None, "", "²² 12", "rue ² RUE", "x" * 500, "masse klasse que neu"] * 9
+    alone = [language_id.Scorer(model)(t) for t in texts]
+    monkeypatch.setattr(language_id, "CHARACTERS", 64)
+    monkeypatch.setattr(language_id, "KEPT", 3)
+    langs, scores = language_id.Scorer(model).all(texts)
+    assert list(zip(langs, scores, strict=True)) == alone and alone[3] == ("und", 0.0) and alone[1] == ("und", 0.0)
+    words = ["masse", "klasse", "x" * 500, "q", "zz", "²"]
+    assert np.array_equal(model.scores(words), np.array([model.word(w) for w in words], np.float32))
