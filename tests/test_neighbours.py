@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators.neighbour_descent import descended_neighbours, meetings
-from ebbtide.operators.neighbours import distinct_points, nearest_neighbours, partitioned_neighbours, squared_distances
+from ebbtide.operators.neighbours import distinct_points, leaving_out, nearest_neighbours, neighbours_by_fold, partitioned_neighbours, squared_distances
 from ebbtide.operators.smote import oversample, synthetic_rows
 from tests.conftest import plan_of
 
@@ -193,3 +193,28 @@ def test_copies_of_one_churner(spark, labelled):
     )
     more = oversample(labelled.unionByName(copies), ["a", "b c"])
     assert {r["churn"]: r["count"] for r in more.groupBy("churn").count().collect()} == {0: 140, 1: 140}
+
+
+def test_one_search_serves_every_left_out_fold(spark):
+    """As if each fold had been searched by itself, with copies across folds, ties, a row without a fold, small blocks and chunks."""
+    rng = np.random.default_rng(14)
+    x = np.round(rng.normal(size=(400, 3)) * [1, 20, 3])
+    x[::4] = x[0]
+    folds = [int(f) for f in rng.integers(0, 3, 400)]
+    folds[7] = None
+    rows = spark.createDataFrame([(f"p{i:04d}", [float(v) for v in r], f) for i, (r, f) in enumerate(zip(x, folds, strict=True))], "id string, vec array<double>, fold int")
+    for block_rows in (30, 2048):
+        lists = neighbours_by_fold(rows, 3, 4, block_rows=block_rows, chunk_points=9)
+        for fold in (0, 1, 2, None):
+            inside = rows if fold is None else rows.filter(F.col("fold") != fold)
+            alone = {r["id"]: r["near"] for r in nearest_neighbours(inside.select("id", "vec"), 4).collect()}
+            assert {r["id"]: r["near"] for r in leaving_out(lists, fold, 4).collect()} == alone
+            keep = [i for i, f in enumerate(folds) if fold is None or f not in (fold, None)]
+            ids = [f"p{i:04d}" for i in keep]
+            assert {i: [n["id"] for n in near] for i, near in alone.items()} == brute_force(ids, x[keep], 4)
+
+
+def test_distances_far_from_the_origin_stay_exact(spark):
+    """Products alone would round these gaps away."""
+    check(spark, 1e8 + np.random.default_rng(15).integers(0, 40, size=(300, 3)), block_rows=40)
+    check(spark, np.random.default_rng(16).normal(size=(60, 2)) * 1e153, block_rows=2048)
