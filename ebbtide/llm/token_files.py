@@ -89,14 +89,19 @@ class WordEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _learn(self, words: list[str]) -> None:
-        """Ask for many words in one text, a line each: a line end alone is a token of its own, which parts them again."""
-        parts = set("\x20".join(words).split())
-        plain = [w for w in words if w in parts]  # without white space inside
+        """Ask for many words in one text, a line each: a line end alone is a token of its own, which parts them again.
+
+        Words that hold line ends go along if each of these stands alone, and are known by their number.
+        """
+        even = [bool(w) and "\n".join(w.split()) == w for w in words]
+        plain = list(compress(words, even))
+        lines = np.fromiter((w.count("\n") + 1 for w in plain), np.int64, len(plain))
         ids = self.whole("\n".join([" " + w for w in plain]))
         ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-        if len(ends) == len(plain):
-            self._keep(plain, np.diff(ends, prepend=-1) - 1, ids[ids != self.line_end])
-            words = [w for w in words if w not in parts]
+        if len(ends) == lines.sum():
+            ends = ends[np.cumsum(lines) - 1]
+            self._keep(plain, np.diff(ends, prepend=-1) - 1, np.delete(ids, ends[:-1]))
+            words = list(compress(words, [not e for e in even]))
         found = [x.ids for x in self.tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
         self._keep(words, np.array([len(f) for f in found], np.int64), np.fromiter(chain.from_iterable(found), self.dtype))
 

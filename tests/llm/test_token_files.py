@@ -56,6 +56,24 @@ def test_a_full_store_keeps_the_words_seen_again(monkeypatch):
     assert asked.count("again") == asked.count("and") == asked.count("it's") == 1 and asked.count("new3") == 1
 
 
+def test_words_with_lone_line_ends_are_asked_for_together(monkeypatch):
+    encoder, asked = token_files.WordEncoder(vocabulary_path()), []
+    library = encoder.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    texts = [f"first end{k}.\nNext one\ntwo\nthree{k} \nx y\n\nz a\r\nb last\n" for k in range(40)] + [" a\nb", "\n", "a"]
+    assert [[*f, 2] for f in encoder.encode(pa.array(texts))] == [ids_of(t) for t in texts]
+    asked.clear()
+    texts = [f"a new{k}.\nLine{k} one\ntwo\nthree{k}" for k in range(40)]
+    assert [[*f, 2] for f in encoder.encode(pa.array(texts))] == [ids_of(t) for t in texts]
+    assert asked == [1, 0, 40]  # all words in one text, none alone, then the texts' first words
+
+
 def test_every_row_comes_back_in_order(spark):
     rows = token_files.read_back(spark, dataset(spark, documents(spark), length=16, rows=4)).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == sorted((r[0] for r in ROWS), key=lambda k: (k is not None, k))
