@@ -1,13 +1,16 @@
 """Trees grown together against a tree grown by hand, their objective, their sampling, and the six variants as a whole."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ebbtide.operators import newton
+from ebbtide.operators import node_rows as R
 from ebbtide.operators import tree_growing as G
+from ebbtide.operators import tree_models as T
 from ebbtide.operators.classifiers import FitTables, build_variant, fit_many
 from ebbtide.operators.tree_models import load_ensemble, probability_column, save_ensemble
 from ebbtide.plans import training
@@ -303,3 +306,84 @@ def test_six_variants_cross_validated(spark, sf_dir):
         assert run.fit_rows[0] == run.fit_rows[1] if run.variant.smote else run.fit_rows[0] > run.fit_rows[1]
     frame = training.runs_frame(spark, runs)
     assert frame.where("cv_roc_auc IS NULL").count() == 0 and frame.count() == 6
+
+
+def small_steps(monkeypatch):
+    """Rows in the order of their nodes from the first row on, a few at a time, groups summed jointly from eight rows on."""
+    for module, name, value in ((G, "SORTED_ROWS", 0), (G, "STEP", 64), (R, "STEP", 64), (R, "JOINT_ROWS", 8), (G, "TREES_A_TASK", 1)):
+        monkeypatch.setattr(module, name, value)
+
+
+def test_rows_in_order_of_their_nodes_grow_the_same_trees(binned, monkeypatch):
+    forests = [G.Spec(0, False, 4, 6, min_samples_leaf=3), G.Spec(2, False, 7, 8, seed=1, max_features=0.5), G.Spec(2, False, 3, 0)]
+    boosting = [
+        G.Spec(1, True, 6, 4, learning_rate=0.3, subsample=0.7, colsample=0.6, gamma=0.4, reg_alpha=0.2), G.Spec(2, True, 5, 5, min_child_weight=3.0),
+        G.Spec(2, True, 4, 3, gamma=5.0, learning_rate=0.4),
+    ]
+    plain = G.grow_forests(binned, forests) + G.grow_boosted(binned, boosting)
+    small_steps(monkeypatch)
+    monkeypatch.setattr(G, "_by_jobs", None)
+    monkeypatch.setattr(G, "_tree_here", None)  # nothing is grown the other ways
+    found = G.grow_forests(binned, forests) + G.grow_boosted(binned, boosting)
+    for k, (a, b) in enumerate(zip(plain, found, strict=True)):
+        same = np.array_equal if k < len(forests) else lambda x, y: np.allclose(x, y, rtol=1e-9, atol=1e-9)
+        assert [name for name in ("roots", "feature", "left", "threshold") if not np.array_equal(getattr(a, name), getattr(b, name))] == [], k
+        assert [name for name in ("value", "cover", "gain") if not same(getattr(a, name), getattr(b, name))] == [], k
+
+
+def test_sums_do_not_depend_on_the_order_of_rows():
+    """Sums of a boosted tree are exact: the same rows in another order grow the same trees to the last bit."""
+    r = np.random.default_rng(9)
+    bins, keys, labels = r.integers(0, 30, (900, 5)).astype(np.uint8), r.integers(-(2**62), 2**62, 900), r.integers(0, 2, 900).astype(float)
+    layout, spec, grown = R.Layout.of([30] * 5), G.Spec(0, True, 5, 4, subsample=0.8, colsample=0.8), []
+    for order in (np.arange(900), r.permutation(900)):
+        trees = G._sorted_boosted(spec, keys[order], labels[order], layout.packed(bins[order]), layout, 0.1, 30)
+        grown.append([np.concatenate([g.stats.ravel(), g.gain, g.feature, g.cut]) for g in trees])
+    assert all(np.array_equal(a, b) for a, b in zip(*grown, strict=True))
+
+
+def test_features_of_any_width_have_their_place_in_the_words():
+    sizes = [64, 1, 2, 256, 3, 64, 64, 17, 64, 5, 64, 200, 64, 64, 64, 2]
+    layout, r = R.Layout.of(sizes), np.random.default_rng(2)
+    bins = np.stack([r.integers(0, size, 300) for size in sizes], axis=1).astype(np.uint8)
+    words = layout.packed(bins)
+    assert layout.words == 2 and sorted(f for group in layout.groups for f in group[3]) == list(range(len(sizes)))
+    for f, (word, shift, bits) in enumerate(layout.features):
+        assert np.array_equal((words[word] >> shift) & ((1 << bits) - 1), bins[:, f])
+
+
+def test_fits_of_several_million_rows_are_one_block(monkeypatch):
+    """At 6 GB every fit has three to seven million rows: one job grows them, not one per level and round."""
+    rows = G.BinnedRows(None, [np.arange(3.0)], {0: (3_400_000, 1_500_000), 1: (3_000_000, 3_000_000), 2: (6_000_000, 6_000_000)})
+    assert rows.one_block(0) and rows.one_block(1) and not rows.one_block(2)
+
+
+def test_trees_of_few_large_forests_go_to_more_tasks(binned, monkeypatch):
+    forest, boosted = G.Spec(0, False, 60, 3), G.Spec(2, True, 60, 3)
+    assert G._copies(binned, [forest], [0, 2]) == 1  # small fits are not sent twice
+    monkeypatch.setattr(G, "SORTED_ROWS", 200)
+    assert G._copies(binned, [forest], [0]) == 2 and G._copies(binned, [boosted], [2]) == 1
+    assert G._copies(binned, [G.Spec(0, False, 10, 3), forest], [0]) == 1
+
+
+def test_walks_by_codes_end_where_thresholds_lead(table, binned, monkeypatch):
+    """Trees of few leaves are looked up, others walked; values that are not finite go where a comparison sends them."""
+    x = np.array(table.where("fit = 2").select("`a b`", "c", "d", "e").collect(), float)
+    x[3, 0], x[4, 1], x[5, 3], x[6] = np.nan, np.inf, -np.inf, np.nan
+    forest, boosted = G.grow_forests(binned, [G.Spec(2, False, 5, 9)])[0], G.grow_boosted(binned, [G.Spec(2, True, 6, 4)])[0]
+    for trees in (forest, boosted):
+        expected = np.zeros(len(x))
+        for root in trees.roots:
+            for i, row in enumerate(x):
+                node = root
+                while trees.feature[node] >= 0:
+                    node = trees.left[node] + int(row[trees.feature[node]] > trees.threshold[node])
+                expected[i] += trees.value[node]
+        for leaves, rows in ((64, 4096), (0, 100), (6, 7)):
+            monkeypatch.setattr(T, "LEAVES_IN_MASK", leaves)
+            monkeypatch.setattr(T, "ROWS_AT_ONCE", rows)
+            again = replace(trees)
+            assert np.array_equal(again.sums(x), expected) and again.steps.cuts[2].size == 0
+            assert leaves or not any(again.steps.masks)
+    monkeypatch.undo()
+    assert all(T.steps_of(boosted).masks)
