@@ -15,6 +15,7 @@ from ebbtide.operators.classifiers import FitTables, build_variant, fit_many
 from ebbtide.operators.tree_models import load_ensemble, probability_column, save_ensemble
 from ebbtide.plans import training
 from checks.derived import training_table
+from tests.conftest import plan_of
 
 FEATURES = ["a b", "c", "d", "e"]
 
@@ -387,3 +388,15 @@ def test_walks_by_codes_end_where_thresholds_lead(table, binned, monkeypatch):
             assert leaves or not any(again.steps.masks)
     monkeypatch.undo()
     assert all(T.steps_of(boosted).masks)
+
+
+def test_rows_are_binned_where_they_are_and_dealt_without_ranges(table, binned, monkeypatch):
+    """No second pass that looks for ranges: the place of a row is its fit and block, and values travel as bytes."""
+    parts = []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: parts.append(plan_of(df)) or df)
+    monkeypatch.setattr(G, "PART_ROWS", 200)
+    again = G.bin_rows(table, FEATURES, binned.cuts, "id", "churn")
+    assert "rangepartitioning" not in parts[0] and parts[0].index("Exchange") < parts[0].index("MapInArrow")
+    rows = again.table.select("fit", "key", "label", "bins", F.spark_partition_id().alias("part")).collect()
+    assert {tuple(r[:4]) for r in rows} == {tuple(r) for r in binned.table.select("fit", "key", "label", "bins").collect()} and len(rows) == 1200
+    assert len({(r["fit"], r["key"] % 3, r["part"]) for r in rows}) == len({r["part"] for r in rows}) == 9
