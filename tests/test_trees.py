@@ -400,3 +400,19 @@ def test_rows_are_binned_where_they_are_and_dealt_without_ranges(table, binned,
     rows = again.table.select("fit", "key", "label", "bins", F.spark_partition_id().alias("part")).collect()
     assert {tuple(r[:4]) for r in rows} == {tuple(r) for r in binned.table.select("fit", "key", "label", "bins").collect()} and len(rows) == 1200
     assert len({(r["fit"], r["key"] % 3, r["part"]) for r in rows}) == len({r["part"] for r in rows}) == 9
+
+
+def test_joint_sums_are_those_of_single_features(monkeypatch):
+    r = np.random.default_rng(4)
+    sizes, n = [30, 2, 17, 64, 5, 1], 500
+    bins, weights = np.stack([r.integers(0, s, n) for s in sizes], axis=1).astype(np.uint8), r.integers(-9, 9, (2, n)).astype(float)
+    monkeypatch.setattr(R, "STEP", 64)
+    held = R.NodeRows(R.Layout.of(sizes), [float, float], n)
+    for array, some in zip(held.sides[0], [*held.layout.packed(bins), *weights], strict=True):
+        array[:] = some
+    words, wanted, found = held.layout.words, np.array([0, 1, 3, 5]), []
+    for least in (1, n + 1):
+        monkeypatch.setattr(R, "JOINT_ROWS", least)
+        found.append(held.sums((0, 20, 480), wanted, 64, [words, words + 1]))
+    by_hand = np.stack([[np.bincount(bins[20:480, f], w[20:480], 64) for w in weights] for f in wanted]).transpose(0, 2, 1)
+    assert np.array_equal(found[0], by_hand) and np.array_equal(found[1], by_hand)
